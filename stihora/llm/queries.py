@@ -7,13 +7,99 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import normal_form, tokenizer
+from . import contributor_cap, cross_split, leakage, normal_form, shared, tokenizer
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: The share of all poems that one author may keep.
+AUTHOR_SHARE = 0.03
+
+
+def _scored_songs(spark: SparkSession, d: str) -> DataFrame:
+    """contributor, record and quality of each poem_id."""
+    songs = _t(spark, d, "stripped_songs").filter("poem_id is not null").groupBy("poem_id").agg(F.max_by("author", F.struct("ingested_at", "author")).alias("author"))
+    latest = F.struct("scored_at", F.coalesce("quality", F.lit(float("-inf"))))
+    scores = _t(spark, d, "scored_poems").groupBy("poem_id").agg(F.max_by("quality", latest).alias("quality"))
+    named = contributor_cap.contributors(songs, "author", _t(spark, d, "authors"), ["author", "author_latin"], "author_id")
+    return named.join(scores, "poem_id", "left").select("contributor", F.col("poem_id").alias("record"), "quality")
+
+
+def _author_cap(spark: SparkSession, d: str) -> int:
+    n = _t(spark, d, "stripped_songs").agg(F.countDistinct("poem_id")).head()[0]
+    return int(AUTHOR_SHARE * n)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Poems beyond their author's cap."""
+    return contributor_cap.over_cap(_scored_songs(spark, d), _author_cap(spark, d)).select(F.col("record").alias("poem_id"))
+
+
+def p1_authors(spark: SparkSession, d: str) -> DataFrame:
+    """How many poems each author has, and how many are beyond the cap."""
+    scored = _scored_songs(spark, d)
+    over = contributor_cap.over_cap(scored, _author_cap(spark, d)).groupBy("contributor").agg(F.count("*").alias("n_over"))
+    every = scored.groupBy("contributor").agg(F.count("*").alias("n_poems"))
+    return every.join(over, "contributor", "left").select("contributor", "n_poems", F.coalesce("n_over", F.lit(0)).cast("bigint").alias("n_over"))
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _scored_songs_sql() -> str:
+    a, b = map(_sql_text, shared.fold_maps())
+    key = f"array_to_string(list_sort(regexp_extract_all(translate(lower(%s), {a}, {b}), '[\\p{{L}}\\p{{N}}]+')), ' ')"
+    return f"""
+        songs AS (SELECT poem_id, arg_max(author, (ingested_at, author)) AS author FROM stripped_songs GROUP BY 1),
+        scores AS (SELECT poem_id, quality FROM scored_poems
+            QUALIFY row_number() OVER (PARTITION BY poem_id ORDER BY scored_at DESC, quality DESC NULLS LAST) = 1),
+        aliases AS (SELECT k, min(author_id) AS id FROM (
+            SELECT {key % "author"} AS k, author_id FROM authors UNION ALL SELECT {key % "author_latin"}, author_id FROM authors) GROUP BY 1),
+        keyed AS (SELECT poem_id, nullif({key % "author"}, '') AS k FROM songs),
+        named AS (SELECT keyed.poem_id, coalesce('id:' || aliases.id, 'name:' || keyed.k) AS contributor, quality
+            FROM keyed LEFT JOIN aliases ON keyed.k = aliases.k LEFT JOIN scores ON keyed.poem_id = scores.poem_id),
+        ranked AS (SELECT *, contributor IS NOT NULL AND row_number() OVER (PARTITION BY contributor ORDER BY quality DESC NULLS LAST, poem_id)
+            > floor({AUTHOR_SHARE}::DOUBLE * (SELECT count(DISTINCT poem_id) FROM stripped_songs)) AS beyond FROM named)"""
+
+
+def _sides(spark: SparkSession, d: str) -> DataFrame:
+    """id and split of each assignment; labels are compared without case and outer spaces."""
+    label = F.regexp_replace(F.lower("split"), r"^\s+|\s+$", "")
+    return _t(spark, d, "poem_splits").select(F.col("poem_id").alias("id"), label.alias("split")).filter("split in ('train', 'val', 'test')")
+
+
+def _cross_split(spark: SparkSession, d: str) -> DataFrame:
+    records = _t(spark, d, "stripped_songs").select(F.col("poem_id").alias("id"), F.col("song_text").alias("text"))
+    sides = _sides(spark, d).select("id", (F.col("split") == "train").alias("train"), (F.col("split") != "train").alias("held_out"))
+    return cross_split.near_duplicates_across(records, sides)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of poems across train and the held-out splits with the same or nearly the same text."""
+    return _cross_split(spark, d).select(F.col("a").alias("poem_a"), F.col("b").alias("poem_b"))
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out poems with a partner in train, by split and author."""
+    songs = _t(spark, d, "stripped_songs").select("poem_id", "author")
+    named = contributor_cap.contributors(songs, "author", _t(spark, d, "authors"), ["author", "author_latin"], "author_id")
+    return cross_split.overlap_report(_cross_split(spark, d), _sides(spark, d), named.select(F.col("poem_id").alias("id"), F.col("contributor").alias("source")))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold passages of evaluation items."""
+    return leakage.leaked_items(_t(spark, d, "documents"), _t(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Each affected document with the items it contains."""
+    found = leakage.leaked_items(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
+    return found.groupBy("doc_id").agg(F.array_sort(F.collect_list("item_id")).alias("items"), F.max("n_words").alias("longest"))
+
+
 def _fields(spark: SparkSession, d: str) -> DataFrame:
     songs = _t(spark, d, "stripped_songs").select(F.lit("song_text").alias("field"), F.col("poem_id").alias("rec_id"), F.col("song_text").alias("text"))
     words = _t(spark, d, "pos_corrections").select(F.lit("word").alias("field"), F.col("rule_id").alias("rec_id"), F.col("word").alias("text"))
@@ -40,4 +126,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": f"WITH {_scored_songs_sql()} SELECT poem_id FROM ranked WHERE beyond",
+        "p1_authors": f"WITH {_scored_songs_sql()} SELECT contributor, count(*) AS n_poems, count(*) FILTER (beyond) AS n_over FROM ranked GROUP BY 1",
+    }
