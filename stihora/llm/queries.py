@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contributor_cap, cross_split, leakage, normal_form, shared, tokenizer
+from . import contributor_cap, cross_split, leakage, normal_form, shared, shared_spans, tokenizer
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -65,6 +65,23 @@ def _scored_songs_sql() -> str:
             > floor({AUTHOR_SHARE}::DOUBLE * (SELECT count(DISTINCT poem_id) FROM stripped_songs)) AS beyond FROM named)"""
 
 
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """Poems and generated examples as records, named p:id and g:id."""
+    songs = _t(spark, d, "stripped_songs").select(F.concat(F.lit("p:"), "poem_id").alias("rec"), F.col("song_text").alias("text"))
+    examples = _t(spark, d, "synthetic_dataset").select(F.concat(F.lit("g:"), "example_id").alias("rec"), F.col("generated_poem").alias("text"))
+    return songs.unionByName(examples)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of records with a common span of at least 100 characters."""
+    return shared_spans.SharedSpans(_records(spark, d)).pairs()
+
+
+def p2_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each record of 100 characters or more is found elsewhere."""
+    return shared_spans.SharedSpans(_records(spark, d)).coverage()
+
+
 def _sides(spark: SparkSession, d: str) -> DataFrame:
     """id and split of each assignment; labels are compared without case and outer spaces."""
     label = F.regexp_replace(F.lower("split"), r"^\s+|\s+$", "")
