@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contributor_cap, cross_split, leakage, normal_form, shared, shared_spans, tokenizer
+from . import contributor_cap, cross_split, language, leakage, normal_form, shared, shared_spans, tokenizer
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -138,6 +138,21 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode_documents(_t(spark, d, "documents"))
 
 
+def _language_model(spark: SparkSession, d: str) -> language.Model:
+    trusted = _t(spark, d, "lang_samples").select("lang", "text").unionByName(_t(spark, d, "eval_items").select("lang", "text"))
+    return language.fit_on_tables(trusted, _t(spark, d, "documents"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a missing or wrong label, or in several languages."""
+    return language.label_issues(_t(spark, d, "documents"), _language_model(spark, d)).select("doc_id", "issue", "lang")
+
+
+def p8_languages(spark: SparkSession, d: str) -> DataFrame:
+    """The language of each document and of each passage in another language, with confidence."""
+    return language.identify(_t(spark, d, "documents"), _language_model(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
