@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contributor_cap, cross_split, language, leakage, normal_form, shared, shared_spans, tokenizer
+from . import answers, contributor_cap, cross_split, language, leakage, normal_form, shared, shared_spans, tokenizer
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -143,6 +143,23 @@ def _language_model(spark: SparkSession, d: str) -> language.Model:
     return language.fit_on_tables(trusted, _t(spark, d, "documents"))
 
 
+def _defects(spark: SparkSession, d: str) -> DataFrame:
+    examples = _t(spark, d, "synthetic_dataset").select("example_id", F.col("source_poem_id").alias("source_id"), F.col("generated_poem").alias("answer"))
+    prompts = _t(spark, d, "stripped_songs").select(F.col("poem_id").alias("id"), F.col("song_text").alias("text"))
+    trusted = _t(spark, d, "lang_samples").select("lang", "text").unionByName(_t(spark, d, "eval_items").select("lang", "text"))
+    return answers.defects(examples, prompts, language.fit_on_tables(trusted))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each defective example with its first defect."""
+    return answers.first_defects(_defects(spark, d))
+
+
+def p4_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every defect of each example."""
+    return _defects(spark, d).select("example_id", "defect")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with a missing or wrong label, or in several languages."""
     return language.label_issues(_t(spark, d, "documents"), _language_model(spark, d)).select("doc_id", "issue", "lang")
