@@ -145,7 +145,7 @@ class Model:
 def fit(texts: list[tuple[str, str]]) -> Model:
     """A model from (language, text) pairs."""
     languages = [x for x in NAMES if any(x == lang for lang, _ in texts)]
-    counts, owner = [], []
+    found: list[tuple[int, np.ndarray, np.ndarray]] = []  # language, n-grams, counts
     grams: dict[str, np.ndarray] = {}
     for lang, text in texts:
         cp, off = codepoints([text])
@@ -155,21 +155,23 @@ def fit(texts: list[tuple[str, str]]) -> Model:
             if w not in grams:
                 grams[w] = word_grams(canonical(w))
         if words:
-            every = np.concatenate([np.repeat(grams[w], n) for w, n in words.items()])
-            counts.append(np.bincount(every, minlength=DIMENSIONS).astype(np.float32))
-            owner.append(languages.index(lang))
-    count, owner = np.array(counts), np.array(owner)
-    present = count > 0
-    df = present.sum(0)
-    share = np.array([present[owner == i].mean(0) for i in range(len(languages))])
-    share = share / np.maximum(share.sum(0), 1e-9)
+            found.append((languages.index(lang), *np.unique(np.concatenate([np.repeat(grams[w], n) for w, n in words.items()]), return_counts=True)))
+    df = np.zeros((len(languages), DIMENSIONS), np.float32)
+    for i, g, _ in found:
+        df[i, g] += 1
+    share = df / np.maximum(np.bincount([i for i, _, _ in found], minlength=len(languages))[:, None], 1)
+    share /= np.maximum(share.sum(0), 1e-9)
     spread = -(share * np.log(np.maximum(share, 1e-12))).sum(0) / max(1e-9, np.log(len(languages)))
-    weights = np.where(df > 0, (np.log((1 + len(owner)) / (1 + df)) + 1) * (1.02 - spread) ** 2, 1.0).astype(np.float32)
-    x = np.where(present, (1 + np.log(np.maximum(count, 1))) * weights, 0).astype(np.float32)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    total = df.sum(0)
+    weights = np.where(total > 0, (np.log((1 + len(found)) / (1 + total)) + 1) * (1.02 - spread) ** 2, 1.0).astype(np.float32)
     centroids, whose = [], []
-    for i in range(len(languages)):
-        own = _spherical_means(x[owner == i], CENTROIDS)
+    for i in range(len(languages)):  # a language at a time, so that the dense rows stay few
+        rows = [(g, n) for lang, g, n in found if lang == i]
+        x = np.zeros((len(rows), DIMENSIONS), np.float32)
+        for r, (g, n) in enumerate(rows):
+            x[r, g] = (1 + np.log(n)) * weights[g]
+            x[r] /= max(1e-9, float(np.linalg.norm(x[r])))
+        own = _spherical_means(x, CENTROIDS)
         centroids.append(own)
         whose += [i] * len(own)
     return Model(languages, weights, np.concatenate(centroids), np.array(whose))
