@@ -37,7 +37,7 @@ _PLACEHOLDER = regex.compile(r"^(?:n/?a|none|null|nil|todo|tbd|nan|undefined|emp
 
 #: How a model says that it declines, by language: words of inability or refusal, and words of writing.
 _UNABLE = {
-    "mk": (r"не можам|не сум во можност|немам можност|не би (?:создал|напишал|составил|сторил)\p{L}*|не смеам|нема да|одбивам|морам да одбијам|не ми е дозволено|не сум во состојба", r"напиш|состав|создад|создал|сторам|исполн|помогн|направ|генерир|препе|обезбед|изготв|понуд|дадам|продолж|барање|одговор|стихови|песна"),
+    "mk": (r"не можам|не сум во можност|немам можност|не би|не смеам|нема да|одбивам|морам да одбијам|не ми е дозволено|не сум во состојба", r"напиш|состав|создад|создал|сторам|исполн|помогн|направ|генерир|препе|обезбед|изготв|понуд|дадам|продолж|барање|одговор|стихови|песна"),
     "sr": (r"не могу|нисам у могућности|не бих|не смем|одбијам|морам да одбијем|нећу|ne mogu|nisam u mogućnosti|ne bih|ne smem|odbijam|moram da odbijem|neću", r"напи|састав|створ|урад|испун|помог|направ|генери|пруж|захтев|песм|стих|napi|sastav|stvor|urad|ispun|pomog|naprav|generi|pruž|zahtev|pesm|stih"),
     "bg": (r"не мога|не съм в състояние|нямам възможност|не бих|отказвам|няма да|не ми е позволено", r"напи|състав|създ|направ|изпълн|помог|генерир|предостав|искане|стих|песен"),
     "ru": (r"не могу|не в состоянии|не имею возможности|не буду|отказываюсь|не стану|не смогу|вынужден\p{L}* отказать", r"напис|сочин|созда|сделать|выполн|помочь|сгенерир|предостав|просьб|запрос|стих|песн"),
@@ -48,7 +48,7 @@ _UNABLE = {
 }
 #: How a refusal begins or what it says of itself; with these the words above may stand further apart.
 _EXCUSE = r"language model|as an ai|i['’]?m sorry|i am sorry|i apologi|sorry|unfortunately|јазичен модел|вештачка интелигенција|се извинувам|извинете|извини|жал ми е|за жал|нажалост|језички модел|жао ми је|нажалост|jezički model|žao mi je|nažalost|езиков модел|съжалявам|за съжаление|языковая модель|извините|к сожалению|простите|model gjuhësor|më vjen keq|fatkeqësisht|dil modeli|üzgünüm|maalesef|ne yazık ki|sprachmodell|tut mir leid|leider|entschuldig"
-_REFUSALS = [regex.compile(rf"(?:{a})(?:\W+[\p{{L}}’']+){{0,4}}?\W+(?:\p{{L}}*?)(?:{b})|(?:{b})\p{{L}}*(?:\W+[\p{{L}}’']+){{0,4}}?\W+(?:{a})") for a, b in _UNABLE.values()]
+_REFUSALS = [regex.compile(rf"\b(?:{a})(?:\s+[\p{{L}}']+){{0,4}}?\s+(?:\p{{L}}*?)(?:{b})|\b(?:{b})\p{{L}}*(?:\s+[\p{{L}}']+){{0,4}}?\s+(?:{a})\b") for a, b in _UNABLE.values()]
 _APOLOGIES = [regex.compile(rf"(?:{_EXCUSE}).{{0,80}}?\b(?:{a})\b") for a, _ in _UNABLE.values()]
 _EXCUSED = regex.compile(_EXCUSE)
 _QUOTED = regex.compile(r"„[^“”\"\n]*[“”\"]|«[^»\n]*»|“[^”\n]*”|\"[^\"\n]*\"")
@@ -95,7 +95,7 @@ def is_refusal(answer: str | None) -> bool:
     start = " ".join(regex.split(r"(?<=[.!?])\s", text)[:2])[:240]
     if any(p.search(start) for p in _REFUSALS):
         return bool(_EXCUSED.search(start)) or "„“" in start or len(text) < 240
-    return bool(_EXCUSED.match(start)) and any(p.search(start) for p in _APOLOGIES) and len(text) < 400
+    return bool(_EXCUSED.search(start[:40])) and any(p.search(start) for p in _APOLOGIES) and len(text) < 400
 
 
 def ends_abruptly(text: str) -> bool:
