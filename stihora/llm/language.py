@@ -22,11 +22,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .arrays import chunks, codepoints, prefix_hash, span_hash
-from .normal_form import repair_characters, repairs
+from .normal_form import repair_characters, repairs, script
 
 #: Hashed n-grams, their lengths, centroids of a language, and k-means rounds.
 DIMENSIONS, LENGTHS, CENTROIDS, ROUNDS = 1 << 16, (1, 2, 3, 4), 3, 12
@@ -122,6 +122,8 @@ class Model:
 
     def word_score(self, word: str) -> np.ndarray:
         """Cosine of a word with the nearest centroid of each language; zeros if it is rejected."""
+        if not any(script(c) in ("LATIN", "CYRILLIC") for c in word):
+            return np.zeros(len(self.languages))
         g = word_grams(canonical(word))
         w = self.weights[g]
         near = (self.centroids[:, g] @ w) / max(1e-9, float(np.sqrt((w * w).sum())))
@@ -190,21 +192,34 @@ def _spherical_means(x: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
+def bounded_sample(df: DataFrame, key: str, most: int) -> list[Row]:
+    """At most `most` rows, those with the smallest hash of `key`, in the order of the hash.
+
+    The rows are counted first, so that no more than are wanted leave the
+    executors, whatever the number of tasks.
+    """
+    h = F.xxhash64(key)
+    rate = 0.95 * most / max(1, df.count())
+    chosen = df if rate >= 0.95 else df.filter(h / 2.0**64 + 0.5 < rate)
+    rows = chosen.withColumn("_h", h).limit(most).collect()
+    return sorted(rows, key=lambda r: r["_h"])
+
+
 def fit_on_tables(trusted: DataFrame, documents: DataFrame | None = None) -> Model:
     """A model from trusted (lang, text), refined with labelled documents (doc_id, lang, text).
 
-    Bounded samples are collected: at most TRUSTED_AT_MOST trusted texts, and
-    the DOCUMENTS_AT_MOST labelled documents with the smallest hash of their
-    id.  Of these, up to OF_ONE_LANGUAGE for each language are used, if the
-    first fit confirms the label clearly.  Everything else runs over all rows.
+    Bounded samples are collected: about TRUSTED_AT_MOST trusted texts and
+    DOCUMENTS_AT_MOST labelled documents at most, chosen by a hash.  Of the
+    documents, up to OF_ONE_LANGUAGE for each language are used, if the first
+    fit confirms the label clearly.  Everything else runs over all rows.
     """
-    rows = trusted.filter("lang is not null and text is not null").orderBy(F.xxhash64("text")).limit(TRUSTED_AT_MOST).collect()
-    base = [(r.lang, r.text) for r in rows if r.lang in NAMES]
+    rows = bounded_sample(trusted.filter(F.col("lang").isin(list(NAMES)) & F.col("text").isNotNull()), "text", TRUSTED_AT_MOST)
+    base = [(r.lang, r.text) for r in rows]
     model = fit(base)
     if documents is None:
         return model
-    labelled = documents.select(label_code(F.col("lang")).alias("code"), "text", F.xxhash64("doc_id").alias("h")).filter(F.col("code").isin(list(NAMES)) & F.col("text").isNotNull() & F.length("text").between(100, 20_000))
-    found = [(r.code, r.text) for r in labelled.orderBy("h", "text").limit(DOCUMENTS_AT_MOST).collect()]
+    labelled = documents.select("doc_id", label_code(F.col("lang")).alias("code"), "text").filter(F.col("code").isin(list(NAMES)) & F.col("text").isNotNull() & F.length("text").between(100, 20_000))
+    found = [(r.code, r.text) for r in bounded_sample(labelled, "doc_id", DOCUMENTS_AT_MOST)]
     used: Counter[str] = Counter()
     more = []
     for lang, text in found:
