@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load() -> None:
-    from . import text_queries  # noqa: F401
+    from . import join_queries, style_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict:

@@ -128,13 +128,11 @@ def t5_stanzas(spark, d):
     return poems(spark, d).select("poem_id", F.size(T.stanzas(F.col("text"))).cast("bigint").alias("n_stanzas"), F.size(T.lines(F.col("text"))).cast("bigint").alias("n_lines"))
 
 
-RHYME_SQL = (
-    LINES
-    + r""", stripped AS (SELECT poem_id, author, line_no, [regexp_replace(w, '^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$', '', 'g') for w in regexp_split_to_array(lower(line), '[\s\x0B\x85\p{Z}]+')] AS ws FROM lines),
+RHYME_CTES = r"""stripped AS (SELECT poem_id, author, line_no, [regexp_replace(w, '^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$', '', 'g') for w in regexp_split_to_array(lower(line), '[\s\x0B\x85\p{Z}]+')] AS ws FROM lines),
 last AS (SELECT *, [w for w in ws if regexp_full_match(w, '\p{L}+') and regexp_matches(w, '[аеиоу]')][-1] AS w FROM stripped),
 rhymes AS (SELECT poem_id, author, line_no, CASE WHEN regexp_matches(w, '[аеиоу].*[аеиоу]') THEN regexp_extract(w, '[аеиоу]([^аеиоу]*[аеиоу][^аеиоу]*)$', 1)
   ELSE regexp_extract(w, '([аеиоу][^аеиоу]*)$', 1) END AS ending FROM last WHERE w IS NOT NULL)"""
-)
+RHYME_SQL = f"{LINES}, {RHYME_CTES}"
 
 
 def rhymes(spark, d):
