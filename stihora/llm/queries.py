@@ -77,6 +77,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.SharedSpans(_records(spark, d)).pairs()
 
 
+def p2_links(spark: SparkSession, d: str) -> DataFrame:
+    """Each record with a shared span, its class of copies and its number of links."""
+    return shared_spans.SharedSpans(_records(spark, d)).membership()
+
+
 def p2_coverage(spark: SparkSession, d: str) -> DataFrame:
     """How much of each record of 100 characters or more is found elsewhere."""
     return shared_spans.SharedSpans(_records(spark, d)).coverage()
@@ -99,6 +104,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return _cross_split(spark, d).select(F.col("a").alias("poem_a"), F.col("b").alias("poem_b"))
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Poems with the same words as classes."""
+    return cross_split.text_classes(_t(spark, d, "stripped_songs").select(F.col("poem_id").alias("id"), F.col("song_text").alias("text")))
+
+
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     """Held-out poems with a partner in train, by split and author."""
     songs = _t(spark, d, "stripped_songs").select("poem_id", "author")
