@@ -151,7 +151,7 @@ def _lines(spark, d, col):
 @query(
     f"""{GEN_LINES}, m AS (SELECT example_id, line_no, src_no, CASE WHEN len(g.w) + len(s.w) > 0 THEN len(list_intersect(g.w, s.w)) / len(list_distinct(g.w || s.w)) ELSE 0 END AS sim FROM g JOIN s USING (example_id)),
     p AS (SELECT example_id, avg(x) AS precision FROM (SELECT example_id, line_no, max(sim) AS x FROM m GROUP BY 1, 2) GROUP BY 1), r AS (SELECT example_id, avg(x) AS recall FROM (SELECT example_id, src_no, max(sim) AS x FROM m GROUP BY 1, 2) GROUP BY 1)
-    SELECT example_id, round(precision, 5)::DOUBLE AS precision, round(recall, 5)::DOUBLE AS recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 5)::DOUBLE AS f1 FROM p JOIN r USING (example_id)"""
+    SELECT example_id, round(precision + 1e-9, 5)::DOUBLE AS precision, round(recall + 1e-9, 5)::DOUBLE AS recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END + 1e-9, 5)::DOUBLE AS f1 FROM p JOIN r USING (example_id)"""
 )
 def j12_best_line_matches(spark, d):
     from stihora.functions import numeric as N
@@ -159,7 +159,7 @@ def j12_best_line_matches(spark, d):
     gen = _lines(spark, d, "gen").withColumnsRenamed({"line_no": "gen_no", "words": "g"})
     src = _lines(spark, d, "src").withColumnsRenamed({"line_no": "src_no", "words": "s"})
     scores = gen.join(src, "example_id").select("example_id", "gen_no", "src_no", N.jaccard(F.col("g"), F.col("s")).alias("sim"))
-    return J.best_matches(scores, "example_id").withColumns({c: F.round(c, 5) for c in ("precision", "recall", "f1")})
+    return J.best_matches(scores, "example_id").withColumns({c: F.round(F.col(c) + 1e-9, 5) for c in ("precision", "recall", "f1")})
 
 
 @query(
