@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from stihora.operators.relations import required
+from stihora.plans.tables import written
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
@@ -19,6 +20,7 @@ def read_csv_checked(spark: SparkSession, path: str, columns: list[str], needed:
     """(good rows, rejects with their reason): rows with too many or too few columns, or with a needed one missing, are rejected."""
     schema = StructType([StructField(c, StringType()) for c in columns] + [StructField("_corrupt", StringType())])
     rows = spark.read.options(header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True).schema(schema).csv(path)
+    rows = written(rows)  # parsed once for both results
     whole = rows.filter("_corrupt is null").drop("_corrupt")
     good = required(whole, *needed)
     blank = F.lit(False)
