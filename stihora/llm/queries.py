@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stihora.shipping import ship
+
 from . import answers, contributor_cap, cross_split, language, leakage, normal_form, shared, shared_spans, tokenizer
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return ship(spark).read.parquet(f"{d}/{name}.parquet")
 
 
 #: The share of all poems that one author may keep.
