@@ -55,14 +55,20 @@ def rhyme_ending(line: Column, vowels: str = VOWELS) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """Runs of n tokens, joined by a blank; empty if there are fewer."""
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(0), F.greatest(F.size(tokens) - n, F.lit(0))), lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+    """Runs of n tokens, joined by a blank; empty if there are fewer.
+
+    Shifted slices are zipped, so the cost is linear in the tokens.
+    """
+    m = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    out = F.slice(tokens, F.lit(1), m)
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(tokens, F.lit(k + 1), m), lambda x, y: F.concat(x, F.lit(" "), y))
+    return out
 
 
 def distinctness(tokens: Column, n: int) -> Column:
     """Share of different n-grams among all; 0 without any."""
-    g = ngrams(tokens, n)
-    return F.when(F.size(g) > 0, F.size(F.array_distinct(g)) / F.size(g)).otherwise(F.lit(0.0))
+    return F.size(F.array_distinct(ngrams(tokens, n))) / F.greatest(F.size(tokens) - (n - 1), F.lit(1))
 
 
 def counts(items: Column) -> Column:
@@ -81,7 +87,7 @@ def most_repeats(items: Column) -> Column:
         run = F.when(acc["prev"] == x, acc["run"] + 1).otherwise(1)
         return F.struct(x.alias("prev"), run.alias("run"), F.greatest(acc["most"], run).alias("most"))
 
-    return F.aggregate(F.array_sort(items), start, step, lambda acc: acc["most"])
+    return F.aggregate(F.sort_array(items), start, step, lambda acc: acc["most"])
 
 
 def script_counts(text: Column) -> Column:
@@ -121,7 +127,7 @@ def collapsed_line(line: Column) -> Column:
 
 def marker_letters(text: Column, markers: str) -> Column:
     """Sorted set of the marker letters that stand in a text."""
-    return F.array_sort(F.array_intersect(F.split(F.lower(text), ""), F.array(*map(F.lit, markers))))
+    return F.sort_array(F.array_intersect(F.split(F.lower(text), ""), F.array(*map(F.lit, markers))))
 
 
 def mask_first(text: Column, word: Column, brackets: bool = False) -> Column:
@@ -139,7 +145,7 @@ def splice(text: Column, edits: Column) -> Column:
         kept = F.substring(text, acc["at"] + 1, e["start"] - acc["at"])
         return F.struct(F.concat(acc["out"], kept, e["put"]).alias("out"), e["end"].cast("int").alias("at"))
 
-    return F.aggregate(F.array_sort(edits), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.aggregate(F.sort_array(edits), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
 def near_copy(text: Column, put: str, least_words: int = 4) -> Column:
@@ -189,7 +195,7 @@ def parse_features(text: Column) -> Column:
 
 def render_features(features: Column) -> Column:
     """A feature bundle in the order of its names."""
-    return F.array_join(F.transform(F.array_sort(F.map_entries(features)), lambda e: F.concat_ws("=", e["key"], e["value"])), "|")
+    return F.array_join(F.transform(F.sort_array(F.map_entries(features)), lambda e: F.concat_ws("=", e["key"], e["value"])), "|")
 
 
 #: Features that are dropped one after the other to relax a bundle; gender for nouns only.

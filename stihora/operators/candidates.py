@@ -136,5 +136,5 @@ def with_tag_shares(tokens: DataFrame) -> DataFrame:
 def slot_spec(slots: DataFrame, poem: str = "poem_id", explicit: bool = False) -> DataFrame:
     """(poem, spec): one line of text for each slot, in order."""
     line = F.concat(F.col("rank").cast("string"), F.lit(". "), F.col("word"), F.lit(" ["), F.col("pos"), F.lit("]"), F.concat(F.lit(" -> "), F.array_join("options", " / ")) if explicit else F.lit(""))
-    items = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"))))
+    items = F.sort_array(F.collect_list(F.struct("rank", line.alias("line"))))
     return slots.groupBy(poem).agg(F.array_join(F.transform(items, lambda x: x["line"]), "\n").alias("spec"))

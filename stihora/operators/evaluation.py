@@ -110,7 +110,7 @@ def bootstrap_interval(df: DataFrame, col: str, draws: int = 2000, seed: int = 4
     rows = df.filter(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("x"), F.xxhash64(*df.columns).alias("_row"))
     drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
     means = drawn.groupBy("draw").agg((F.sum(F.col("x") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1))).alias("m"))
-    ordered = F.array_sort(F.collect_list("m"))
+    ordered = F.sort_array(F.collect_list("m"))
     ends = means.agg(F.element_at(ordered, int(0.025 * draws) + 1).alias("low"), F.element_at(ordered, int(0.975 * draws)).alias("high"))
     return rows.agg(F.avg("x").alias("mean")).join(ends)
 

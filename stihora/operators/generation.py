@@ -118,7 +118,7 @@ def cached_completions(df: DataFrame, prompt: str, cache_path: str, client: Clie
 
 def assembled_prompts(poems: DataFrame, keywords: DataFrame, targets: DataFrame) -> DataFrame:
     """(poem_id, target, prompt) from a poem's keywords and lines and a target's description and words."""
-    words = keywords.groupBy("poem_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "lemma"))), lambda x: x["lemma"]), ", ").alias("keywords"))
+    words = keywords.groupBy("poem_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "lemma"))), lambda x: x["lemma"]), ", ").alias("keywords"))
     joined = poems.join(words, "poem_id").join(targets, F.col("author") != F.col("target"))
     prompt = F.format_string("Напиши песна за: %s.\nСтил: %s\nЗборови: %s\nРедови: %d", "keywords", "description", "palette", F.size(T.lines(F.col("text"))))
     return joined.select("poem_id", "target", prompt.alias("prompt"))

@@ -107,12 +107,19 @@ def jaccard_pairs(df: DataFrame, group: str, item: str, least: float) -> DataFra
 def cooccurrence(df: DataFrame, doc: str, term: str) -> DataFrame:
     """(a, b, n): in how many documents two terms a < b stand together.
 
-    A document's different terms are paired inside its row, so the documents
-    are grouped once and the pairs are counted before they are shuffled.
+    Terms are numbered first, so pairs are pairs of numbers.  A document's
+    different terms are paired inside its row: documents are grouped once, and
+    pairs are counted before they are shuffled.
     """
-    sets = df.groupBy(doc).agg(F.array_sort(F.collect_set(term)).alias("_t"))
-    left = sets.select(F.posexplode("_t").alias("_i", "a"), "_t")
-    return left.select("a", F.explode(F.slice("_t", F.col("_i") + 2, F.size("_t"))).alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    from stihora.plans.tables import written
+
+    sets = df.select(doc, term).distinct()
+    numbered = written(sets.select(F.col(term).alias("_name")).distinct().withColumn("_id", F.monotonically_increasing_id()))
+    ids = sets.join(numbered, F.col(term) == F.col("_name")).groupBy(doc).agg(F.sort_array(F.collect_list("_id")).alias("_t"))
+    left = ids.select(F.posexplode("_t").alias("_i", "_a"), "_t")
+    pairs = left.select("_a", F.explode(F.slice("_t", F.col("_i") + 2, F.size("_t"))).alias("_b")).groupBy("_a", "_b").agg(F.count("*").alias("n"))
+    named = pairs.join(numbered.toDF("_x", "_a"), "_a").join(numbered.toDF("_y", "_b"), "_b")
+    return named.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"), "n")
 
 
 def symmetric(pairs: DataFrame) -> DataFrame:

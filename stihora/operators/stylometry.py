@@ -107,7 +107,7 @@ def author_profile(poems: DataFrame, tokens: DataFrame, rhymes: DataFrame, group
 
 def _top_list(counted: DataFrame, group: str, n: int, name: str) -> DataFrame:
     best = top_n(counted, [group], [F.desc("n"), F.col("item")], n)
-    items = F.array_sort(F.collect_list(F.struct("rank", "item")))
+    items = F.sort_array(F.collect_list(F.struct("rank", "item")))
     return best.groupBy(group).agg(F.array_join(F.transform(items, lambda x: x["item"]), "|").alias(name))
 
 
@@ -128,4 +128,4 @@ def band(percentile: Column) -> Column:
 def describe(bands: DataFrame, phrases: DataFrame, key: str = "author") -> DataFrame:
     """One text for each author from the phrases (name, band, phrase, place) of its bands."""
     joined = bands.join(phrases, ["name", "band"])
-    return joined.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "phrase"))), lambda x: x["phrase"]), " ").alias("description"))
+    return joined.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "phrase"))), lambda x: x["phrase"]), " ").alias("description"))

@@ -53,7 +53,7 @@ def a13_identification(spark, d):
 
 
 @query("SELECT s.run, s.poem_id, CASE WHEN t.poem_id IS NULL THEN judge_top1 END AS judge_top1 FROM (SELECT DISTINCT run, poem_id, judge_top1 FROM scored_poems) s LEFT JOIN (SELECT DISTINCT poem_id FROM poem_splits WHERE trim(lower(split)) = 'train') t USING (poem_id)")
-def p21_masked_labels(spark, d):
+def proj_p21_masked_labels(spark, d):
     train = splits(spark, d).filter("split = 'train'").select("poem_id", F.lit(True).alias("train"))
     s = scored(spark, d).select("run", "poem_id", "judge_top1").distinct().join(train, "poem_id", "left")
     return E.masked(s, F.col("train").isNotNull(), "judge_top1").select("run", "poem_id", "judge_top1")
@@ -228,7 +228,7 @@ def n17_reward(spark, d):
     """SELECT rule_id, list_filter([CASE WHEN word IS NULL OR trim(word) = '' THEN 'no_word' END, CASE WHEN pos IS NULL THEN 'no_pos' END, CASE WHEN scope = 'poem' AND poem_id IS NULL THEN 'no_poem' END, CASE WHEN correction IS NULL AND lemma_fix IS NULL THEN 'no_effect' END], lambda x: x IS NOT NULL) AS errors
     FROM (SELECT DISTINCT rule_id, word, pos, scope, poem_id, correction, lemma_fix FROM pos_corrections)"""
 )
-def p16_validation(spark, d):
+def proj_p16_validation(spark, d):
     rules = {
         "no_word": F.col("word").isNull() | (F.trim("word") == ""), "no_pos": F.col("pos").isNull(), "no_poem": (F.col("scope") == "poem") & F.col("poem_id").isNull(),
         "no_effect": F.col("correction").isNull() & F.col("lemma_fix").isNull(),
@@ -238,7 +238,7 @@ def p16_validation(spark, d):
 
 
 @query(f"SELECT doc_id, len(regexp_extract_all(text, '{T.NON_SPACE}'))::BIGINT AS n_tokens FROM documents WHERE len(regexp_extract_all(text, '{T.NON_SPACE}')) <= 100")
-def p15_token_budget(spark, d):
+def proj_p15_token_budget(spark, d):
     n = F.size(T.whitespace_tokens(F.col("text")))
     return E.within_budget(table(spark, d, "documents").filter("text is not null"), n, 100).select("doc_id", n.cast("bigint").alias("n_tokens"))
 
@@ -305,7 +305,7 @@ def m5_json_attributes(spark, d):
 
 @query("SELECT doc_type, array_to_string(list_sort(list(DISTINCT lang)), '|') AS langs, list_sort(list(DISTINCT lang))[1:3] AS first_langs FROM documents WHERE lang IS NOT NULL GROUP BY 1")
 def m1_delimited_lists(spark, d):
-    langs = table(spark, d, "documents").filter("lang is not null").groupBy("doc_type").agg(F.array_sort(F.collect_set("lang")).alias("l"))
+    langs = table(spark, d, "documents").filter("lang is not null").groupBy("doc_type").agg(F.sort_array(F.collect_set("lang")).alias("l"))
     joined = langs.select("doc_type", F.array_join("l", "|").alias("langs"))
     return joined.withColumn("first_langs", F.slice(F.split("langs", r"\|"), 1, 3))
 
@@ -314,14 +314,14 @@ def m1_delimited_lists(spark, d):
 def m4_nested_map(spark, d):
     v = S.vocabulary(R.content(tokens(spark, d))).filter("n >= 5")
     nested = v.groupBy("author", "pos").agg(F.map_from_entries(F.collect_list(F.struct("lemma", "n"))).alias("m"))
-    return nested.select("author", "pos", F.array_sort(F.transform(F.map_entries("m"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))).alias("lemmas"))
+    return nested.select("author", "pos", F.sort_array(F.transform(F.map_entries("m"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))).alias("lemmas"))
 
 
 @query("SELECT label, round(list_sum(list(x ORDER BY vec_id)) / count(*), 5)::DOUBLE AS centroid_first, count(*) AS n FROM (SELECT label, vec_id, embedding[1]::DOUBLE AS x FROM embeddings) GROUP BY 1")
 def n8_centroids(spark, d):
     e = table(spark, d, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("i", "x"))
     mean = e.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count("*").alias("n"))
-    c = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"), F.any_value("n").alias("n"))
+    c = mean.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"), F.any_value("n").alias("n"))
     return c.select("label", F.round(F.col("centroid")[0], 5).alias("centroid_first"), "n")
 
 

@@ -120,7 +120,7 @@ def s8_gexf(spark, d):
 
 
 @query(f"{CONTENT} SELECT pos, CASE pos WHEN 'NOUN' THEN '#4c72b0' WHEN 'VERB' THEN '#c44e52' WHEN 'ADJ' THEN '#55a868' ELSE '#8172b2' END AS colour, count(DISTINCT lemma) AS n FROM content GROUP BY 1")
-def p18_colours(spark, d):
+def proj_p18_colours(spark, d):
     colour = F.when(F.col("pos") == "NOUN", "#4c72b0").when(F.col("pos") == "VERB", "#c44e52").when(F.col("pos") == "ADJ", "#55a868").otherwise("#8172b2")
     return R.content(tokens(spark, d)).groupBy("pos").agg(F.countDistinct("lemma").alias("n")).select("pos", colour.alias("colour"), "n")
 
@@ -172,7 +172,7 @@ def o2_ranked_candidates(spark, d):
     f"""{TOKENS}, {TERMS}, {tfidf_ctes('author', 'word', True, 2, 0.85, 20)}, tgt AS (SELECT max(author) AS t FROM best), src AS (SELECT DISTINCT author, word AS lemma FROM best), has AS (SELECT DISTINCT pos, lemma FROM tokens WHERE author = (SELECT t FROM tgt) AND pos <> 'ADP'),
     c AS (SELECT * FROM tokens WHERE pos <> 'ADP') SELECT poem_id, line_no::INT AS line_no, tok_no::INT AS tok_no FROM c WHERE ((author, lemma) IN (SELECT author, lemma FROM src) AND lemma NOT IN (SELECT lemma FROM src WHERE author = (SELECT t FROM tgt))) OR (pos IN ('ADJ', 'ADV', 'VERB') AND (pos, lemma) NOT IN (SELECT pos, lemma FROM has))"""
 )
-def p8_replacement(spark, d):
+def proj_p8_replacement(spark, d):
     best = best_words(spark, d).select("author", F.col("word").alias("lemma"))
     target = best.agg(F.max("author")).head()[0]
     t = R.content(tokens(spark, d)).withColumn("target", F.lit(target))

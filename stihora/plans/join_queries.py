@@ -351,7 +351,7 @@ def o17_smallest_first(spark, d):
 
 @query(f"{TOKENS}, first_words AS (SELECT poem_id, list(word ORDER BY line_no, tok_no) AS ws FROM tokens GROUP BY 1) SELECT poem_id, len(ws)::INT AS n_words, len(ws)::INT AS n_aligned FROM first_words")
 def j17_align_itself(spark, d):
-    stream = tokens(spark, d).groupBy("poem_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "tok_no", "word"))).alias("s")).select("poem_id", F.transform("s", lambda x: x["word"]).alias("stream"))
+    stream = tokens(spark, d).groupBy("poem_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "tok_no", "word"))).alias("s")).select("poem_id", F.transform("s", lambda x: x["word"]).alias("stream"))
     return J.align_words(stream.withColumn("words", F.col("stream")), "words", "stream", ["poem_id"]).select("poem_id", "n_words", "n_aligned")
 
 

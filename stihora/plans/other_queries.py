@@ -107,7 +107,7 @@ def l5_prompts(spark, d):
     best = S.top_n(I.tfidf(R.content(tokens(spark, d)).select("poem_id", "lemma"), "poem_id", "lemma"), ["poem_id"], [F.round("weight", 9).desc(), F.col("lemma")], 5)
     n = R.content(tokens(spark, d)).groupBy("author", "lemma").agg(F.count("*").alias("n"))
     top = poems(spark, d).groupBy("author").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "author").limit(3)
-    words = S.top_n(n.join(F.broadcast(top), "author"), ["author"], [F.desc("n"), F.col("lemma")], 10).groupBy(F.col("author").alias("target")).agg(F.array_join(F.array_sort(F.collect_list("lemma")), ", ").alias("palette"))
+    words = S.top_n(n.join(F.broadcast(top), "author"), ["author"], [F.desc("n"), F.col("lemma")], 10).groupBy(F.col("author").alias("target")).agg(F.array_join(F.sort_array(F.collect_list("lemma")), ", ").alias("palette"))
     return G.assembled_prompts(poems(spark, d), best, words.withColumn("description", F.lit("кратки редови")))
 
 

@@ -231,6 +231,6 @@ def n6_distribution_cosine(spark, d):
 
 @query(rf"""{POEMS} SELECT author, length(string_agg(text, chr(10) ORDER BY poem_id))::BIGINT AS n_chars, md5(string_agg(text, chr(10) ORDER BY poem_id)) AS digest FROM poems GROUP BY 1""")
 def a26_one_text_per_author(spark, d):
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("poem_id", "text"))), lambda x: x["text"]), "\n")
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("poem_id", "text"))), lambda x: x["text"]), "\n")
     joined = poems(spark, d).groupBy("author").agg(whole.alias("t"))
     return joined.select("author", F.length("t").cast("bigint").alias("n_chars"), F.md5("t").alias("digest"))

@@ -12,22 +12,22 @@ from .tables import table
 
 
 @query(f"{POEMS} SELECT poem_id, author, text FROM poems")
-def p3_trimmed_lines(spark, d):
+def proj_p3_trimmed_lines(spark, d):
     return poems(spark, d).select("poem_id", "author", "text")
 
 
 @query(f"{POEMS} SELECT poem_id, author, row_number() OVER (ORDER BY author, poem_id) - 1 AS dense_id FROM poems")
-def p4_dense_ids(spark, d):
+def proj_p4_dense_ids(spark, d):
     return R.dense_ids(poems(spark, d).select("poem_id", "author"), ["author", "poem_id"]).select("poem_id", "author", F.col("dense_id").cast("bigint").alias("dense_id"))
 
 
 @query(f"{TOKENS} SELECT pos, count(*) AS n, count(DISTINCT lemma) AS n_lemmas FROM tokens WHERE pos IN ('NOUN', 'VERB', 'ADJ', 'ADV', 'PROPN') GROUP BY 1")
-def p5_content_words(spark, d):
+def proj_p5_content_words(spark, d):
     return R.content(tokens(spark, d)).groupBy("pos").agg(F.count("*").alias("n"), F.countDistinct("lemma").alias("n_lemmas"))
 
 
 @query(f"{POEMS} SELECT poem_id, author FROM poems WHERE author IN (SELECT author FROM poems GROUP BY 1 HAVING count(*) >= 5)")
-def p6_eligible_authors(spark, d):
+def proj_p6_eligible_authors(spark, d):
     return R.eligible(poems(spark, d).select("poem_id", "author"))
 
 
@@ -35,14 +35,14 @@ def p6_eligible_authors(spark, d):
     r"""SELECT run, poem_id, line_uniqueness, clf_predicted, coalesce(sample_index, '0') AS sample_index
     FROM (SELECT run, poem_id, line_uniqueness, clf_predicted, NULL::VARCHAR AS sample_index FROM scored_poems)"""
 )
-def p2_default_column(spark, d):
+def proj_p2_default_column(spark, d):
     scored = table(spark, d, "scored_poems").select("run", "poem_id", "line_uniqueness", "clf_predicted")
     shape = spark.createDataFrame([], "run string, poem_id bigint, line_uniqueness double, clf_predicted string, sample_index string")
     return shape.unionByName(scored, allowMissingColumns=True).withColumn("sample_index", F.coalesce("sample_index", F.lit("0")))
 
 
 @query("SELECT run, count(*) AS n, count(*) FILTER (quality IS NULL OR quality >= 0.65) AS kept FROM scored_poems GROUP BY 1")
-def p7_null_or_above(spark, d):
+def proj_p7_null_or_above(spark, d):
     scored = table(spark, d, "scored_poems")
     return scored.groupBy("run").agg(F.count("*").alias("n"), F.count_if(F.col("quality").isNull() | (F.col("quality") >= 0.65)).alias("kept"))
 
@@ -51,18 +51,18 @@ PLACE = ("ски", "ска", "ско", "цки", "цка", "цко")
 
 
 @query(f"{TOKENS} SELECT poem_id, line_no::INT AS line_no, tok_no::INT AS tok_no, word FROM tokens WHERE pos IN ('NOUN', 'VERB', 'ADJ', 'ADV') AND NOT regexp_matches(word, '({'|'.join(PLACE)})$')")
-def p9_replaceable(spark, d):
+def proj_p9_replaceable(spark, d):
     return R.content(tokens(spark, d)).filter((F.col("pos") != "PROPN") & ~T.has_suffix(F.col("word"), PLACE)).select("poem_id", "line_no", "tok_no", "word")
 
 
 @query("SELECT poem_id, lower(regexp_replace(split, '^\\s+|\\s+$', '', 'g')) AS split FROM poem_splits WHERE lower(regexp_replace(split, '^\\s+|\\s+$', '', 'g')) IN ('train', 'val', 'test')")
-def p11_split_filter(spark, d):
+def proj_p11_split_filter(spark, d):
     label = F.lower(F.regexp_replace("split", r"^\s+|\s+$", ""))
     return table(spark, d, "poem_splits").select("poem_id", label.alias("split")).filter(F.col("split").isin("train", "val", "test"))
 
 
 @query("SELECT run, poem_id, clf_top1 FROM scored_poems WHERE run <> 'baseline'")
-def p12_without_reference(spark, d):
+def proj_p12_without_reference(spark, d):
     return table(spark, d, "scored_poems").filter("run <> 'baseline'").select("run", "poem_id", "clf_top1")
 
 
@@ -70,7 +70,7 @@ def p12_without_reference(spark, d):
     """SELECT kind, run, count(*) AS n, min(poem_id) AS first_id FROM (
     SELECT unnest(['degenerate', 'wrong_voice']) AS kind, unnest([line_uniqueness < 0.8, clf_top1 = 0]) AS hit, run, poem_id FROM scored_poems) WHERE hit GROUP BY ALL"""
 )
-def p13_failures(spark, d):
+def proj_p13_failures(spark, d):
     kinds = F.array(F.when(F.col("line_uniqueness") < 0.8, "degenerate"), F.when(F.col("clf_top1") == 0, "wrong_voice"))
     rows = table(spark, d, "scored_poems").select(F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("kind"), "run", "poem_id")
     return rows.groupBy("kind", "run").agg(F.count("*").alias("n"), F.min("poem_id").alias("first_id"))
@@ -91,7 +91,7 @@ def repetition(df):
     df = df.withColumns({"_w": T.words(F.col("text")), "_l": T.lines(F.col("text"))})
     return df.select(
         *[c for c in df.columns if c not in ("_w", "_l")], F.size(w).cast("bigint").alias("n_tokens"), T.distinctness(w, 1).alias("d1"), T.distinctness(w, 2).alias("d2"), T.distinctness(w, 3).alias("d3"),
-        F.when(F.size(ls) > 0, F.size(F.array_distinct(ls)) / F.size(ls)).otherwise(0.0).alias("line_uniqueness"), T.most_repeats(ls).cast("bigint").alias("max_line_repeats"),
+        (F.size(F.array_distinct(ls)) / F.greatest(F.size(ls), F.lit(1))).alias("line_uniqueness"), T.most_repeats(ls).cast("bigint").alias("max_line_repeats"),
     )
 
 
