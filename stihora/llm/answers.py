@@ -37,20 +37,22 @@ _PLACEHOLDER = regex.compile(r"^(?:n/?a|none|null|nil|todo|tbd|nan|undefined|emp
 
 #: How a model says that it declines, by language: words of inability or refusal, and words of writing.
 _UNABLE = {
-    "mk": (r"не можам|не сум во можност|немам можност|не би|не смеам|нема да|одбивам|морам да одбијам|не ми е дозволено|не сум во состојба", r"напиш|состав|создад|создал|сторам|исполн|помогн|направ|генерир|препе|обезбед|изготв|понуд|дадам|продолж|барање|одговор|стихови|песна"),
-    "sr": (r"не могу|нисам у могућности|не бих|не смем|одбијам|морам да одбијем|нећу|ne mogu|nisam u mogućnosti|ne bih|ne smem|odbijam|moram da odbijem|neću", r"напи|састав|створ|урад|испун|помог|направ|генери|пруж|захтев|песм|стих|napi|sastav|stvor|urad|ispun|pomog|naprav|generi|pruž|zahtev|pesm|stih"),
-    "bg": (r"не мога|не съм в състояние|нямам възможност|не бих|отказвам|няма да|не ми е позволено", r"напи|състав|създ|направ|изпълн|помог|генерир|предостав|искане|стих|песен"),
-    "ru": (r"не могу|не в состоянии|не имею возможности|не буду|отказываюсь|не стану|не смогу|вынужден\p{L}* отказать", r"напис|сочин|созда|сделать|выполн|помочь|сгенерир|предостав|просьб|запрос|стих|песн"),
+    "mk": (r"не можам|не сум во можност|немам можност|не би|не смеам|нема да|одбивам|морам да одбијам|не ми е дозволено|не сум во состојба|не е можно|мора(?:м)? да (?:го |ја |ве )?одбијам|не сакам", r"пиш|состав|создад|создав|создал|творам|сторам|преведам|пренес|преработ|прераск|верзија|исполн|помогн|направ|генерир|препе|обезбед|изготв|понуд|дадам|продолж|барање|одговор|стихови|песна"),
+    "sr": (r"не могу|нисам у могућности|не бих|не смем|одбијам|морам да одбијем|нећу|ne mogu|nisam u mogućnosti|ne bih|ne smem|odbijam|moram da odbijem|neću", r"пиш|пис|састав|створ|урад|испун|помог|направ|генери|пруж|захтев|песм|стих|верзиј|piš|pis|verzij|sastav|stvor|urad|ispun|pomog|naprav|generi|pruž|zahtev|pesm|stih"),
+    "bg": (r"не мога|не съм в състояние|нямам възможност|не бих|отказвам|няма да|не ми е позволено", r"пиш|състав|съчин|създ|верси|направ|изпълн|помог|генерир|предостав|искане|стих|песен"),
+    "ru": (r"не могу|не в состоянии|не имею возможности|не буду|отказываюсь|не стану|не смогу|вынужден\p{L}* отказать", r"пис|пиш|сочин|верси|созда|сделать|выполн|помочь|сгенерир|предостав|просьб|запрос|стих|песн"),
     "en": (r"cannot|can['’]?t|can not|unable|won['’]?t|will not|am not able|not able|must decline|have to decline|decline|refuse|couldn['’]?t|not comfortable|not permitted|not allowed", r"writ|compos|creat|produc|provid|generat|help|assist|fulfil|comply|do that|do this|request|poem|vers|continue|translate|rewrite"),
-    "sq": (r"nuk mund|s['’]mund|nuk jam në gjendje|nuk do të|refuzoj|më duhet të refuzoj", r"shkru|krijo|kompoz|ndihmo|përmbush|bëj|ofro|kërkes|poezi|varg"),
-    "tr": (r"yapamam|yazamam|edemem|oluşturamam|sunamam|veremem|yardımcı olamam|mümkün değil|reddediyorum|reddetmek zorundayım|üzgünüm", r"yaz|oluştur|üret|yardım|yap|iste|şiir|dize|sun"),
-    "de": (r"kann (?:ich )?(?:\p{L}+ ){0,4}nicht|kann (?:ich )?(?:\p{L}+ ){0,2}kein\p{L}*|nicht in der lage|darf (?:ich )?(?:\p{L}+ ){0,3}nicht|werde (?:ich )?(?:\p{L}+ ){0,3}(?:nicht|kein)|lehne|muss (?:\p{L}+ ){0,3}ablehnen|nicht möglich", r"schreib|verfass|erstell|dicht|liefer|helf|erfüll|generier|bereitstell|anfrage|bitte|gedicht|vers|ablehn"),
+    "sq": (r"nuk mund|s['’]mund|nuk jam në gjendje|nuk do të|refuzoj|më duhet të refuzoj", r"shkru|shkruaj|krijo|version|kompoz|ndihmo|përmbush|bëj|ofro|kërkes|poezi|varg"),
+    "tr": (r"yapamam|yazamam|edemem|oluşturamam|sunamam|veremem|yardımcı olamam|mümkün değil|reddediyorum|reddetmek zorundayım|üzgünüm", r"yaz|oluştur|sürüm|üret|yardım|yap|iste|şiir|dize|sun"),
+    "de": (r"kann (?:ich )?(?:\p{L}+ ){0,4}nicht|kann (?:ich )?(?:\p{L}+ ){0,2}kein\p{L}*|nicht in der lage|darf (?:ich )?(?:\p{L}+ ){0,3}nicht|werde (?:ich )?(?:\p{L}+ ){0,3}(?:nicht|kein)|lehne|muss (?:\p{L}+ ){0,3}ablehnen|nicht möglich", r"schreib|verfass|version|erstell|dicht|liefer|helf|erfüll|generier|bereitstell|anfrage|bitte|gedicht|vers|ablehn"),
 }
 #: How a refusal begins or what it says of itself; with these the words above may stand further apart.
 _EXCUSE = r"language model|as an ai|i['’]?m sorry|i am sorry|i apologi|sorry|unfortunately|јазичен модел|вештачка интелигенција|се извинувам|извинете|извини|жал ми е|за жал|нажалост|језички модел|жао ми је|нажалост|jezički model|žao mi je|nažalost|езиков модел|съжалявам|за съжаление|языковая модель|извините|к сожалению|простите|model gjuhësor|më vjen keq|fatkeqësisht|dil modeli|üzgünüm|maalesef|ne yazık ki|sprachmodell|tut mir leid|leider|entschuldig"
 _REFUSALS = [regex.compile(rf"\b(?:{a})(?:\s+[\p{{L}}']+){{0,4}}?\s+(?:\p{{L}}*?)(?:{b})|\b(?:{b})\p{{L}}*(?:\s+[\p{{L}}']+){{0,4}}?\s+(?:{a})\b") for a, b in _UNABLE.values()]
 _APOLOGIES = [regex.compile(rf"(?:{_EXCUSE}).{{0,80}}?\b(?:{a})\b") for a, _ in _UNABLE.values()]
 _EXCUSED = regex.compile(_EXCUSE)
+#: Words of declining, which need no word of writing beside what is quoted.
+_DECLINED = regex.compile(r"\b(?:одбивам|одбијам|odbijam|отказвам|откажа|отказываюсь|отказаться|отказать|decline|refuse|refuzoj|reddediyorum|reddetmek|ablehnen|lehne)\b")
 _QUOTED = regex.compile(r"„[^“”\"\n]*[“”\"]|«[^»\n]*»|“[^”\n]*”|\"[^\"\n]*\"")
 
 _END = regex.compile(r"[.!?…。！？][\s\p{Z}\p{Cf}\"'“”’»«›)\]*_`~|/]*$")
@@ -93,6 +95,8 @@ def is_refusal(answer: str | None) -> bool:
     text = _REASONING.sub("", repair_characters(answer or ""))
     text = regex.sub(r"[`\s\p{Z}]+", " ", _QUOTED.sub(" „“ ", text)).strip().lower().replace("’", "'")
     start = " ".join(regex.split(r"(?<=[.!?])\s", text)[:2])[:240]
+    if _DECLINED.search(start) and ("„“" in start or _EXCUSED.search(start)):
+        return True
     if any(p.search(start) for p in _REFUSALS):
         return bool(_EXCUSED.search(start)) or "„“" in start or len(text) < 240
     return bool(_EXCUSED.search(start[:40])) and any(p.search(start) for p in _APOLOGIES) and len(text) < 400
