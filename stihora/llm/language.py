@@ -30,6 +30,8 @@ from .normal_form import repair_characters, repairs, script
 
 #: Hashed n-grams, their lengths, how often the word itself counts, centroids of a language, and k-means rounds.
 DIMENSIONS, LENGTHS, WORD_WEIGHT, CENTROIDS, ROUNDS = 1 << 16, (1, 2, 3, 4), 3, 3, 12
+#: How strongly n-grams that few languages have are preferred.
+SPREAD_POWER = 3
 #: Most labelled texts that are collected for fitting: trusted ones, and documents whose label the first fit confirms.
 TRUSTED_AT_MOST, DOCUMENTS_AT_MOST, OF_ONE_LANGUAGE = 2_000, 4_000, 150
 #: Words rejected below this cosine; the cost of a change of language; words in a row that make a passage;
@@ -166,7 +168,7 @@ def fit(texts: list[tuple[str, str]]) -> Model:
     share /= np.maximum(share.sum(0), 1e-9)
     spread = -(share * np.log(np.maximum(share, 1e-12))).sum(0) / max(1e-9, np.log(len(languages)))
     total = df.sum(0)
-    weights = np.where(total > 0, (np.log((1 + len(found)) / (1 + total)) + 1) * (1.02 - spread) ** 2, 1.0).astype(np.float32)
+    weights = np.where(total > 0, (np.log((1 + len(found)) / (1 + total)) + 1) * (1.02 - spread) ** SPREAD_POWER, 1.0).astype(np.float32)
     centroids, whose = [], []
     for i in range(len(languages)):  # a language at a time, so that the dense rows stay few
         rows = [(g, n) for lang, g, n in found if lang == i]
