@@ -26,7 +26,7 @@ def identification(scored: DataFrame, target: str, predicted: str, run: str, met
     size = scored.groupBy(run).agg(F.count("*").alias("_size"))
     taken = scored.groupBy(run, F.col(predicted).alias(target)).agg(F.count("*").alias("_taken"))
     means = scored.groupBy(target, run).agg(F.count("*").alias("n"), *(F.avg(m).alias(m) for m in metrics))
-    out = means.join(F.broadcast(size), run).join(taken, [target, run], "left")
+    out = means.join(size, run).join(taken, [target, run], "left")
     return out.withColumn("share_predicted", F.coalesce("_taken", F.lit(0)) / F.col("_size")).drop("_size", "_taken")
 
 
@@ -58,7 +58,7 @@ def leave_one_out(bags: DataFrame, group: str, key: str, item: str) -> DataFrame
     square = total.groupBy(group).agg(F.sum(F.col("all") * F.col("all")).alias("sq"))
     joined = bags.join(total, [group, item]).withColumn("rest", F.col("all") - F.col("n"))
     parts = joined.groupBy(group, key).agg(F.sum(F.col("n") * F.col("rest")).alias("inner"), F.sum(F.col("n") * F.col("n")).alias("own"), F.sum(F.col("all") * F.col("all") - F.col("rest") * F.col("rest")).alias("less"))
-    out = parts.join(F.broadcast(square), group)
+    out = parts.join(square, group)
     length = F.sqrt(F.col("own").cast("double")) * F.sqrt((F.col("sq") - F.col("less")).cast("double"))
     return out.select(group, key, F.when(length > 0, F.col("inner") / length).otherwise(0.0).alias("cosine"))
 

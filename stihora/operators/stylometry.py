@@ -11,17 +11,28 @@ from stihora.functions import text as T
 POS = ("NOUN", "VERB", "ADJ", "ADV", "PROPN")
 
 
-def mattr(tokens: DataFrame, group: str, order: list[str], item: str = "lemma", window: int = 200) -> DataFrame:
+def mattr(tokens: DataFrame, group: str, order: list[str], item: str = "lemma", window: int = 200, by_range: bool = False) -> DataFrame:
     """(group, n, window_sum, mattr): mean share of different items over all windows of so many tokens.
 
     Each token adds one to every window in which it is the first of its kind,
     and the number of those follows from the place of the previous equal
     token: one lag and one sum replace counting each window.  Groups no longer
     than the window have one window, the whole.
+
+    Places are numbered within each group; with by_range they come from a
+    range partitioning of all tokens, so that a group that holds a large part
+    of them is numbered by many tasks.
     """
-    place = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    n = F.count("*").over(Window.partitionBy(group))
-    placed = tokens.select(group, F.col(item).alias("_item"), place.alias("_i"), n.alias("n"))
+    if by_range:
+        from .relations import dense_ids
+
+        numbered = dense_ids(tokens.select(group, *order, F.col(item).alias("_item")), [group, *order], "_d")
+        bounds = numbered.groupBy(group).agg(F.min("_d").alias("_first"), F.count("*").alias("n"))
+        placed = numbered.join(bounds, group).select(group, "_item", (F.col("_d") - F.col("_first")).alias("_i"), "n")
+    else:
+        place = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
+        n = F.count("*").over(Window.partitionBy(group))
+        placed = tokens.select(group, F.col(item).alias("_item"), place.alias("_i"), n.alias("n"))
     before = F.coalesce(F.lag("_i").over(Window.partitionBy(group, "_item").orderBy("_i")), F.lit(-1))
     w = F.least(F.lit(window), F.col("n"))
     first = F.greatest(before + 1, F.col("_i") - w + 1, F.lit(0))
@@ -93,7 +104,7 @@ def author_profile(poems: DataFrame, tokens: DataFrame, rhymes: DataFrame, group
     words = tokens.groupBy(group).agg(
         F.count("*").alias("num_tokens"), *(F.avg((F.col("pos") == p).cast("double")).alias(f"pct_{p.lower()}") for p in POS), (F.countDistinct("lemma") / F.count("*")).alias("ttr"),
     )
-    diversity = mattr(tokens, group, ["poem_id", "line_no", "tok_no"], window=window).select(group, "mattr")
+    diversity = mattr(tokens, group, ["poem_id", "line_no", "tok_no"], window=window, by_range=True).select(group, "mattr")
     pairs = pos_bigrams(tokens, keep=(group,)).groupBy(group, F.concat_ws(">", "pos", "next_pos").alias("item")).agg(F.count("*").alias("n"))
     return (
         words.join(stats, group).join(diversity, group).join(_top_list(pairs, group, top, "top_bigrams"), group, "left")

@@ -15,12 +15,14 @@ def tfidf(terms: DataFrame, doc: str, term: str, sublinear: bool = False, least_
 
     sublinear takes 1 + ln(tf) for tf.  Terms in fewer than least_df documents
     or in more than the share most_df of them are dropped before the length
-    is taken.  df is a window over the counted pairs, so terms are shuffled
-    once for it, not joined.
+    is taken.  Document frequencies are counted before they are shuffled and
+    joined on, so a term that stands in every document is never gathered in
+    one task: the adaptive join splits or broadcasts it.
     """
     tf = terms.groupBy(doc, term).agg(F.count("*").alias("tf"))
     n: Column | int = n_docs if n_docs is not None else terms.agg(F.countDistinct(doc)).head()[0]
-    df = tf.withColumn("df", F.count("*").over(Window.partitionBy(term))).filter((F.col("df") >= least_df) & (F.col("df") <= most_df * n))
+    frequency = tf.groupBy(term).agg(F.count("*").alias("df")).filter((F.col("df") >= least_df) & (F.col("df") <= most_df * n))
+    df = tf.join(frequency, term)
     raw = (1 + F.log("tf") if sublinear else F.col("tf")) * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
     weighed = df.withColumn("_w", raw)
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(doc)))

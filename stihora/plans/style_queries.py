@@ -50,7 +50,7 @@ w1 AS (SELECT author, n, sum(k)::BIGINT AS window_sum, sum(k) / ((n - least(n, 2
 
 @query(f"{CONTENT}, {W1_SQL} SELECT author, n, window_sum, round(mattr, 6)::DOUBLE AS mattr FROM w1")
 def w1_mattr(spark, d):
-    return S.mattr(R.content(tokens(spark, d)), "author", ["poem_id", "line_no", "tok_no"]).withColumn("mattr", r6("mattr"))
+    return S.mattr(R.content(tokens(spark, d)), "author", ["poem_id", "line_no", "tok_no"], by_range=True).withColumn("mattr", r6("mattr"))
 
 
 BIGRAMS = "bigrams AS (SELECT * FROM (SELECT poem_id, author, pos, lead(pos) OVER (PARTITION BY poem_id ORDER BY line_no, tok_no) AS next_pos FROM content) WHERE next_pos IS NOT NULL)"
