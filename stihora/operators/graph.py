@@ -30,7 +30,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float =
     node; every round is written, which cuts the lineage.  With a tolerance
     the rounds end once the ranks move by less than tolerance * nodes.
     """
-    links = both_ways(edges).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    links = written(both_ways(edges).groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
     out = links.groupBy("src").agg(F.sum("weight").alias("total"))
     shares = written(links.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
     every = links.select(F.col("src").alias("id")).union(nodes.select("id") if nodes is not None else links.select("dst")).distinct()

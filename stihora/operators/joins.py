@@ -113,7 +113,7 @@ def cooccurrence(df: DataFrame, doc: str, term: str) -> DataFrame:
     """
     from stihora.plans.tables import written
 
-    sets = df.select(doc, term).distinct()
+    sets = written(df.select(doc, term).distinct())  # read twice
     numbered = written(sets.select(F.col(term).alias("_name")).distinct().withColumn("_id", F.monotonically_increasing_id()))
     ids = sets.join(numbered, F.col(term) == F.col("_name")).groupBy(doc).agg(F.sort_array(F.collect_list("_id")).alias("_t"))
     left = ids.select(F.posexplode("_t").alias("_i", "_a"), "_t")

@@ -100,6 +100,9 @@ def poem_features(poems: DataFrame, tokens: DataFrame, window: int = 200) -> Dat
 
 def author_profile(poems: DataFrame, tokens: DataFrame, rhymes: DataFrame, group: str = "author", window: int = 200, top: int = 5) -> DataFrame:
     """One row of style for each author that has tokens; ratios are ratios of sums."""
+    from stihora.plans.tables import written
+
+    tokens = written(tokens.select(group, "poem_id", "line_no", "tok_no", "lemma", "pos"))  # read three times
     stats = line_stats(poems, (group,)).groupBy(group).agg(F.count("*").alias("num_poems"), *(F.sum(c).alias(c) for c in ("tokens", "lines", "stanzas", "stanza_lines")))
     words = tokens.groupBy(group).agg(
         F.count("*").alias("num_tokens"), *(F.avg((F.col("pos") == p).cast("double")).alias(f"pct_{p.lower()}") for p in POS), (F.countDistinct("lemma") / F.count("*")).alias("ttr"),

@@ -19,8 +19,10 @@ def tfidf(terms: DataFrame, doc: str, term: str, sublinear: bool = False, least_
     joined on, so a term that stands in every document is never gathered in
     one task: the adaptive join splits or broadcasts it.
     """
-    tf = terms.groupBy(doc, term).agg(F.count("*").alias("tf"))
-    n: Column | int = n_docs if n_docs is not None else terms.agg(F.countDistinct(doc)).head()[0]
+    from stihora.plans.tables import written
+
+    tf = written(terms.groupBy(doc, term).agg(F.count("*").alias("tf")))  # read three times
+    n: Column | int = n_docs if n_docs is not None else tf.agg(F.countDistinct(doc)).head()[0]
     frequency = tf.groupBy(term).agg(F.count("*").alias("df")).filter((F.col("df") >= least_df) & (F.col("df") <= most_df * n))
     df = tf.join(frequency, term)
     raw = (1 + F.log("tf") if sublinear else F.col("tf")) * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
