@@ -153,3 +153,28 @@ def smallest_fitting(lengths: DataFrame, col: str, limits: list[int]) -> DataFra
     """The smallest limit that no length exceeds; null if all are exceeded."""
     longest = lengths.agg(F.max(col).alias("longest"))
     return longest.select("longest", F.array_min(F.filter(F.array(*map(F.lit, limits)), lambda x: x >= F.col("longest"))).alias("limit"))
+
+
+#: The groups of style features and their weights.
+STYLE_GROUPS = {"pos": 1.0, "diversity": 1.0, "line": 1.0, "stanza": 1.0, "bigrams": 1.0, "rhymes": 0.5, "words": 0.5}
+
+
+def style_composite(df: DataFrame, groups: dict[str, list[str]], weights: dict[str, float] | None = None) -> DataFrame:
+    """df with `style`: the weighted mean of the groups' means; columns that are null do not count in theirs."""
+    w = weights or STYLE_GROUPS
+    total = sum(w[g] for g in groups)
+    means = {g: F.coalesce(N.mean_of_known(*map(F.col, cols)), F.lit(0.0)) for g, cols in groups.items()}
+    return df.withColumn("style", sum((w[g] * m for g, m in means.items()), F.lit(0.0)) / total)
+
+
+def gates(df: DataFrame) -> DataFrame:
+    """df with the gates validity, uniqueness and novelty."""
+    return df.withColumns({"gate_valid": F.col("cyrillic") * F.col("no_chat") * F.col("nonempty"), "gate_unique": F.col("line_uniqueness"), "gate_novel": F.col("novelty")})
+
+
+def expectations(scored: DataFrame, case: str, kind: str, score: str, better: list[tuple[str, str]]) -> DataFrame:
+    """(case, better, worse, holds): whether one kind of candidate scores above another in each case."""
+    wide = scored.groupBy(case).agg(F.map_from_entries(F.collect_list(F.struct(kind, score))).alias("_s"))
+    pairs = F.explode(F.array(*(F.struct(F.lit(a).alias("better"), F.lit(b).alias("worse")) for a, b in better)))
+    asked = wide.select(case, "_s", pairs.alias("_p")).select(case, "_p.better", "_p.worse", F.try_element_at("_s", F.col("_p.better")).alias("_a"), F.try_element_at("_s", F.col("_p.worse")).alias("_b"))
+    return asked.filter("_a is not null and _b is not null").select(case, "better", "worse", (F.col("_a") > F.col("_b")).alias("holds"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load() -> None:
-    from . import evaluation_queries, graph_queries, join_queries, other_queries, style_queries, text_queries  # noqa: F401
+    from . import evaluation_queries, graph_queries, join_queries, more_queries, other_queries, style_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict:
