@@ -1,38 +1,17 @@
-"""What several operators need: written tables in the shared folder, and folding inside the JVM."""
+"""What several operators need: written tables, and folding inside the JVM."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrays import fold_char
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local temporary one only where the session names none, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = found.get() if found.isDefined() else None
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+from stihora.storage import written
 
+from .arrays import fold_char
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows written once to the shared folder and read again: cuts the lineage and survives lost executors.
-
-    The size of the files is known when the next join is planned, so Spark
-    broadcasts the table only where its size is below the threshold.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["fold_maps", "folded", "folded_words", "written"]
 
 
 @lru_cache(1)
