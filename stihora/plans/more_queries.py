@@ -155,7 +155,7 @@ def a4_pos_percentages(spark, d):
 @query()
 def a25_cross_validation(spark, d):
     """Accuracy and F1 of three folds of the author classifier."""
-    busy = R.eligible(poems(spark, d), least=20).select("poem_id", "author", "text")
+    busy = R.eligible(poems(spark, d), least=5).select("poem_id", "author", "text")
     return M.cross_validated(busy, "author", "poem_id", k=3, iterations=2, vocabulary=500)
 
 
@@ -295,7 +295,7 @@ def m10_config_override(spark, d):
 @query()
 def k1_character_classifier(spark, d):
     """Author classifier over character n-grams: accuracy on the rows it was fitted on."""
-    p = R.eligible(poems(spark, d), least=10).select("poem_id", "author", "text")
+    p = R.eligible(poems(spark, d), least=3).select("poem_id", "author", "text")
     model = M.author_classifier(p, chars=True, iterations=3, vocabulary=2000)
     return M.predict(model, p, chars=True).agg(F.count("*").alias("n"), r6(F.avg((F.col("predicted") == F.col("author")).cast("double"))).alias("accuracy"))
 

@@ -13,12 +13,13 @@ from stihora.operators import relations as R
 from stihora.operators import stylometry as S
 from stihora.operators import tfidf as I
 from stihora.sources import files
+from stihora.storage import shared_dir
 from stihora.streaming import streams
 
 from .join_queries import splits
 from .registry import CONTENT, POEMS, generated, poems, query, tokens
 from .style_queries import r6
-from .tables import shared_dir, table
+from .tables import table
 
 
 def _folder(spark):

@@ -1,33 +1,14 @@
-"""Tables as the queries read them, and tables written on the way."""
+"""Tables as the queries read them."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from stihora.shipping import ship
+from stihora.storage import shared_dir, written
+
+__all__ = ["shared_dir", "table", "written"]
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{d}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which all executors share; a temporary one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = found.get() if found.isDefined() else None
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows written once to the shared folder and read again: a short lineage that survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
