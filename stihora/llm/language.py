@@ -35,7 +35,7 @@ SPREAD_POWER = 3
 #: Most labelled texts that are collected for fitting: trusted ones, and documents whose label the first fit confirms.
 TRUSTED_AT_MOST, DOCUMENTS_AT_MOST, OF_ONE_LANGUAGE = 2_000, 4_000, 150
 #: Words rejected below this cosine; the cost of a change of language; words in a row that make a passage;
-#: and the confidence below which a label that names the runner-up is not called wrong.
+#: and the confidence below which a label that names the runner-up is not called wrong, in texts too short for a passage.
 REJECT, CHANGE, PASSAGE, CLEAR = 0.005, 0.3, 10, 0.53
 #: Distinct words a worker keeps scores of; beyond it the cache starts anew.
 CACHE_WORDS = 200_000
@@ -274,8 +274,8 @@ def segments(scores: np.ndarray, off: np.ndarray, change: float = CHANGE) -> np.
     return out
 
 
-def languages_of(texts: list[str | None], model: Model, passage: int = PASSAGE) -> list[list[tuple[str, str, float, int, int, int, str]]]:
-    """For each text (part, language, confidence, words, first character, end character, runner-up): the document, then its passages.
+def languages_of(texts: list[str | None], model: Model, passage: int = PASSAGE) -> list[list[tuple[str, str, float, int, int, int, str, int]]]:
+    """For each text (part, language, confidence, words, first character, end character, runner-up, known words of any language): the document, then its passages.
 
     Passages come only where at least two languages fill `passage` or more
     words in a row.  Confidence is the best language's share of the sum of the
@@ -297,7 +297,7 @@ def languages_of(texts: list[str | None], model: Model, passage: int = PASSAGE)
         count = np.bincount(own[known[a:b]], minlength=len(model.languages))
         main = int(np.lexsort((total[b] - total[a], count))[-1])
         score = total[b] - total[a]
-        rows = [("document", model.languages[main], _confidence(score, main), int(count[main]), 0, int(off[t + 1] - off[t]), model.languages[_second(score, main)])]
+        rows = [("document", model.languages[main], _confidence(score, main), int(count[main]), 0, int(off[t + 1] - off[t]), model.languages[_second(score, main)], int(known[a:b].sum()))]
         cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), b - a]
         longest: dict[int, int] = defaultdict(int)
         for x, y in zip(cuts, cuts[1:]):
@@ -307,7 +307,7 @@ def languages_of(texts: list[str | None], model: Model, passage: int = PASSAGE)
                 if y - x >= passage:
                     lang = int(own[x])
                     score = total[a + y] - total[a + x]
-                    rows.append(("passage", model.languages[lang], _confidence(score, lang), y - x, int(s[a + x] - off[t]), int(e[a + y - 1] - off[t]), model.languages[_second(score, lang)]))
+                    rows.append(("passage", model.languages[lang], _confidence(score, lang), y - x, int(s[a + x] - off[t]), int(e[a + y - 1] - off[t]), model.languages[_second(score, lang)], int(known[a + x : a + y].sum())))
         out.append(rows)
     return out
 
@@ -322,16 +322,16 @@ def _second(score: np.ndarray, lang: int) -> int:
     return int(order[1] if len(order) > 1 and order[0] == lang else order[0])
 
 
-_FIELDS = (("part", pa.string()), ("lang", pa.string()), ("confidence", pa.float64()), ("n_words", pa.int32()), ("first", pa.int32()), ("end", pa.int32()), ("second", pa.string()))
+_FIELDS = (("part", pa.string()), ("lang", pa.string()), ("confidence", pa.float64()), ("n_words", pa.int32()), ("first", pa.int32()), ("end", pa.int32()), ("second", pa.string()), ("n_known", pa.int32()))
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, part, lang, confidence, n_words, first, end, second): the language of each document and of its passages.
+    """(id, part, lang, confidence, n_words, first, end, second, n_known): the language of each document and of its passages.
 
     One row of part "document" for each row of df with its main language, the
     one with most words, and, if it is mixed, one of part "passage" for each
     run of PASSAGE words or more in one language, with its place in the text.
-    `second` is the runner-up.
+    `second` is the runner-up, n_known the number of words that belong to any language.
     Null, empty and wordless texts, and texts of which every word is rejected,
     give a document row without language, confidence null, 0 words.  Repeated
     rows are repeated; columns other than the two are not read.  One scan and
@@ -347,25 +347,27 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             for a, b in chunks(texts):
                 found = languages_of(texts[a:b], model)
                 take = [a + i for i, rows in enumerate(found) for _ in range(max(1, len(rows)))]
-                flat = [r for rows in found for r in (rows or [("document", None, None, 0, 0, 0, None)])]
+                flat = [r for rows in found for r in (rows or [("document", None, None, 0, 0, 0, None, 0)])]
                 columns = list(zip(*flat, strict=True)) or [[]] * len(_FIELDS)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), *(pa.array(c, t) for c, (_, t) in zip(columns, _FIELDS, strict=True))], names=[id_col, *(n for n, _ in _FIELDS)])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, part string, lang string, confidence double, n_words int, first int, end int, second string")
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, part string, lang string, confidence double, n_words int, first int, end int, second string, n_known int")
 
 
 def label_issues(df: DataFrame, model: Model) -> DataFrame:
     """(doc_id, issue, lang, confidence) of documents with a missing or wrong label, or in several languages.
 
     `missing`: the label is null, blank or names no language; `wrong`: it
-    names another language than the main one (unless it names the runner-up and
-    the text, usually a few words, is as good as undecided); `mixed`: one row for each
-    language that fills a passage.  Documents without words are no cases.
+    names another language than the main one; `mixed`: one row for each
+    language that fills a passage.  A label that names the runner-up is let
+    stand only where the words don't decide: fewer than PASSAGE of them are
+    known, all are taken for one language, and its score is hardly the higher.  Documents without words are no cases.
     """
     labels = df.select(F.struct("doc_id", "lang").alias("key"), "text")
     found = identify(labels, model, "key").filter("lang is not null")
     code = label_code(F.col("key.lang"))
-    unclear = (F.col("confidence") < CLEAR) & (F.col("second") == code)
+    few = (F.col("n_known") < PASSAGE) & (F.col("n_words") == F.col("n_known"))
+    unclear = few & (F.col("confidence") < CLEAR) & (F.col("second") == code)
     whole = found.filter("part = 'document'").withColumn("issue", F.when(code.isNull(), "missing").when((code != F.col("lang")) & ~unclear, "wrong")).filter("issue is not null")
     mixed = found.filter("part = 'passage'").withColumn("issue", F.lit("mixed"))
     both = whole.unionByName(mixed).select(F.col("key.doc_id").alias("doc_id"), "issue", "lang", "confidence")

@@ -179,7 +179,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_languages(spark: SparkSession, d: str) -> DataFrame:
     """The language of each document and of each passage in another language, with confidence."""
-    return language.identify(_t(spark, d, "documents"), _language_model(spark, d))
+    return language.identify(_t(spark, d, "documents"), _language_model(spark, d)).drop("n_known")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
