@@ -20,7 +20,7 @@ SHINGLE = 2
 BANDS, BAND_ROWS = 48, 3
 #: Least share of the words of the longer record that both have in the same order.
 SIMILARITY = 0.8
-#: Copies of one text on one side up to which all of them are paired; of more, only the first stands for them
+#: Exact copies of one text on one side up to which all of them are paired; of more, only the first stands for them
 #: towards other texts, and towards its copies on the other side each is paired with the first there.
 COPIES_AT_MOST = 1_000
 
@@ -54,26 +54,10 @@ def signatures(texts: list[str | None], shingle: int, bands: int, band_rows: int
     return key, n, keys
 
 
-def near_duplicates_across(records: DataFrame, sides: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, band_rows: int = BAND_ROWS, similarity: float = SIMILARITY, copies_at_most: int = COPIES_AT_MOST) -> DataFrame:
-    """(a, b, similarity, jaccard) of records on different sides whose texts are nearly the same, a < b.
-
-    `records` has id (integer) and text, `sides` has id, train and held_out
-    (true for the sides the record is on; ids need not stand in records).
-    The similarity is the share of the longer text's words that both have in
-    the same order, disregarding case, marks, punctuation, spacing and
-    look-alike characters; jaccard is that of their word shingles.  A record
-    on both sides is a pair with itself (similarity null if it has no text).
-    Null and empty texts, and texts without words, match nothing.
-
-    Copies are collapsed to classes before anything is compared, so a text
-    that makes up a third of all records is hashed into buckets once.  Only
-    buckets with both sides make candidates; their verification works on whole
-    texts.  The classes' members are joined on at the end, as the result asks
-    for pairs; of more than copies_at_most copies on one side only the first
-    stands for all towards other texts, and text_classes() has the others.
-    Repeated rows and texts of one id are taken once; empty tables
-    give no rows.
-    """
+def close_classes(records: DataFrame, sides: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, band_rows: int = BAND_ROWS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sides (id, train, held_out) once each; members (id, key, exact, train, held_out) of the classes of
+    records with the same words; and (key_e, key_t, similarity, jaccard) of different classes that are nearly
+    the same, key_e with held-out members and key_t with members in train.  `exact` is a hash of the text as stored."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,7 +73,7 @@ def near_duplicates_across(records: DataFrame, sides: DataFrame, shingle: int =
         .agg(F.coalesce(F.max("train"), F.lit(False)).alias("train"), F.coalesce(F.max("held_out"), F.lit(False)).alias("held_out"))
         .filter("train or held_out")
     )
-    members = written(text_keys(texts).join(sides, "id"))
+    members = written(_keyed(texts).join(sides, "id"))
     # one record stands for each different text, so a bucket never holds two copies of a text; only its bands are made
     classes = written(members.groupBy("key").agg(F.min("id").alias("id"), F.max("train").alias("train"), F.max("held_out").alias("held_out")))
     sketches = texts.mapInArrow(sketch, "id bigint, key bigint, keys array<bigint>").join(classes, ["id", "key"])
@@ -129,24 +113,46 @@ def near_duplicates_across(records: DataFrame, sides: DataFrame, shingle: int =
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["key_e", "key_t", "similarity", "jaccard"])
 
     close = pairs.mapInArrow(verify, "key_e bigint, key_t bigint, similarity double, jaccard double")
-    same = members.groupBy("key").agg(F.max("train").alias("t"), F.max("held_out").alias("h")).filter("t and h")
-    ends = members.groupBy("key").agg(*(F.min(F.when(F.col(c), F.col("id"))).alias(f"first_{c}") for c in ("held_out", "train")), *(F.count_if(c).alias(f"n_{c}") for c in ("held_out", "train")))
-    close = close.select("key_e", "key_t", "similarity", "jaccard")
+    return sides, members, close
+
+
+def near_duplicates_across(records: DataFrame, sides: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, band_rows: int = BAND_ROWS, similarity: float = SIMILARITY, copies_at_most: int = COPIES_AT_MOST) -> DataFrame:
+    """(a, b, similarity, jaccard) of records on different sides whose texts are nearly the same, a < b.
+
+    `records` has id (integer) and text, `sides` has id, train and held_out
+    (true for the sides the record is on; ids need not stand in records).
+    The similarity is the share of the longer text's words that both have in
+    the same order, disregarding case, marks, punctuation, spacing and
+    look-alike characters; jaccard is that of their word shingles.  A record
+    on both sides is a pair with itself (similarity null if it has no text).
+    Null and empty texts, and texts without words, match nothing.
+
+    Copies are collapsed to classes before anything is compared, so a text
+    that makes up a third of all records is hashed into buckets once.  Only
+    buckets with both sides make candidates; their verification works on whole
+    texts.  The classes' members are joined on at the end, as the result asks
+    for pairs; of more than copies_at_most exact copies on one side only the first
+    stands for all towards other texts, and text_classes() has the others.
+    Repeated rows and texts of one id are taken once; empty tables
+    give no rows.
+    """
+
+    sides, members, close = close_classes(records, sides, shingle, bands, band_rows, similarity)
+    ends = members.groupBy("key", "exact").agg(*(F.min(F.when(F.col(c), F.col("id"))).alias(f"first_{c}") for c in ("held_out", "train")), *(F.count_if(c).alias(f"n_{c}") for c in ("held_out", "train")))
 
     def side(name: str, key: str, alias: str) -> DataFrame:
-        own = members.filter(name).join(ends.select("key", f"first_{name}", f"n_{name}"), "key")
+        own = members.filter(name).join(ends.select("key", "exact", f"first_{name}", f"n_{name}"), ["key", "exact"])
         return own.filter((F.col(f"n_{name}") <= copies_at_most) | (F.col("id") == F.col(f"first_{name}"))).select(F.col("key").alias(key), F.col("id").alias(alias))
 
-    across = close.join(side("held_out", "key_e", "e"), "key_e").join(side("train", "key_t", "t"), "key_t").select("e", "t", "similarity", "jaccard")
-    # copies on both sides: all pairs of small classes, else each copy with the first on the other side
-    copied = members.join(same.select("key"), "key", "left_semi").join(ends, "key")
-    small = (F.col("n_held_out") <= copies_at_most) & (F.col("n_train") <= copies_at_most)
-    few = copied.filter(small)
-    every = few.filter("held_out").select("key", F.col("id").alias("e")).join(few.filter("train").select("key", F.col("id").alias("t")), "key").select("e", "t")
-    many = copied.filter(~small)
+    held, train = side("held_out", "key_e", "e"), side("train", "key_t", "t")
+    across = close.join(held, "key_e").join(train, "key_t").select("e", "t", "similarity", "jaccard")
+    # the same words on both sides; of many exact copies also each with the first on the other side
+    alike = held.join(train, F.col("key_e") == F.col("key_t")).select("e", "t")
+    large = ends.filter((F.col("n_held_out") > 0) & (F.col("n_train") > 0) & ((F.col("n_held_out") > copies_at_most) | (F.col("n_train") > copies_at_most)))
+    many = members.join(large, ["key", "exact"])
     star = many.filter("held_out").select(F.col("id").alias("e"), F.col("first_train").alias("t")).union(many.filter("train").select(F.col("first_held_out").alias("e"), F.col("id").alias("t")))
     found = (
-        across.unionByName(every.union(star).select("e", "t", F.lit(1.0).alias("similarity"), F.lit(1.0).alias("jaccard"))).filter("e <> t")
+        across.unionByName(alike.union(star).select("e", "t", F.lit(1.0).alias("similarity"), F.lit(1.0).alias("jaccard"))).filter("e <> t")
         .groupBy(F.least("e", "t").alias("a"), F.greatest("e", "t").alias("b"))
         .agg(F.max("similarity").alias("similarity"), F.max("jaccard").alias("jaccard"))
     )
@@ -154,18 +160,23 @@ def near_duplicates_across(records: DataFrame, sides: DataFrame, shingle: int =
     return found.unionByName(both)
 
 
-def text_keys(records: DataFrame) -> DataFrame:
-    """(id, key): the hash of each record's words, once; records without an id or words are left out."""
+def _keyed(records: DataFrame) -> DataFrame:
+    """(id, key, exact): the hashes of each record's words and of its text as stored, once; records without an id or words are left out."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in chunks(texts):
                 words, off = word_hashes(texts[a:b])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(span_hash(prefix_hash(words), off[:-1], off[1:]).view(np.int64)), pa.array(np.diff(off).astype(np.int32))], names=["id", "key", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(span_hash(prefix_hash(words), off[:-1], off[1:]).view(np.int64)), pa.array(np.diff(off).astype(np.int32))], names=["id", "exact", "key", "n"])
+
+    keyed = records.select(F.col("id").cast("bigint").alias("id"), "text", F.xxhash64("text").alias("exact")).filter("id is not null").mapInArrow(keys, "id bigint, exact bigint, key bigint, n int")
+    return keyed.filter("n > 0").select("id", "key", "exact").distinct()
+
 
-    keyed = records.select(F.col("id").cast("bigint").alias("id"), "text").filter("id is not null").mapInArrow(keys, "id bigint, key bigint, n int")
-    return keyed.filter("n > 0").select("id", "key").distinct()
+def text_keys(records: DataFrame) -> DataFrame:
+    """(id, key): the hash of each record's words, once; records without an id or words are left out."""
+    return _keyed(records).select("id", "key").distinct()
 
 
 def text_classes(records: DataFrame) -> DataFrame:
@@ -181,16 +192,29 @@ def _jaccard(a: np.ndarray, b: np.ndarray, shingle: int) -> float:
     return len(x & y) / len(x | y)
 
 
-def overlap_report(pairs: DataFrame, sides: DataFrame, sources: DataFrame) -> DataFrame:
+def overlap_report(records: DataFrame, sides: DataFrame, sources: DataFrame) -> DataFrame:
     """(split, source, n_records, n_pairs): the held-out records with a partner in train, by split and source.
 
-    `sides` has id and split (one row for each split of a record), `sources`
-    has id and source; a record without source counts under null.
+    `records` has id and text, `sides` has id and split (one row for each
+    split of a record), `sources` has id and source; a record without source
+    counts under null.  n_pairs counts the pairs of a record of the split with
+    a record in train, itself too if it is on both sides, of all copies.
+    Records with the same texts are counted as one class, whose partners in
+    train are the sum of its partner classes' sizes, so no pair is listed.
     """
-    held = sides.filter("split <> 'train'").select("id", "split").distinct()
-    ends = pairs.select(F.col("a").alias("id"), "a", "b").union(pairs.filter("a <> b").select(F.col("b").alias("id"), "a", "b"))
+    held = sides.filter("split <> 'train' and id is not null").select(F.col("id").cast("bigint").alias("id"), "split").distinct()
+    both, members, close = close_classes(records, sides.select("id", (F.col("split") == "train").alias("train"), (F.col("split") != "train").alias("held_out")))
+    # a record may have several texts: classes are of records with the same set of texts, so that no partner counts twice
+    sets = written(members.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"), F.max("train").alias("train")))
+    classes = sets.groupBy("keys").agg(F.count_if("train").alias("n_train")).select(F.explode("keys").alias("key"), "keys", "n_train")
+    to = close.select("key_e", "key_t").union(members.filter("held_out").select("key", "key").distinct())
+    theirs = classes.filter("n_train > 0").select(F.col("key").alias("key_t"), F.col("keys").alias("keys_t"), "n_train")
+    linked = classes.select(F.col("key").alias("key_e"), "keys").join(to, "key_e").join(theirs, "key_t").select("keys", "keys_t", "n_train").distinct()
+    partners = linked.groupBy("keys").agg(F.sum("n_train").alias("n"))
+    of_texts = sets.join(partners, "keys").select("id", "n")
+    textless = both.filter("train and held_out").join(members, "id", "left_anti").select("id", F.lit(1).cast("bigint").alias("n"))
     source = sources.groupBy("id").agg(F.min("source").alias("source"))
     return (
-        ends.join(held, "id").join(source, "id", "left").groupBy("split", "source")
-        .agg(F.countDistinct("id").alias("n_records"), F.count("*").alias("n_pairs"))
+        of_texts.unionByName(textless).join(held, "id").join(source, "id", "left").groupBy("split", "source")
+        .agg(F.count("*").alias("n_records"), F.sum("n").alias("n_pairs"))
     )

@@ -95,10 +95,13 @@ def _sides(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "poem_splits").select(F.col("poem_id").alias("id"), label.alias("split")).filter("split in ('train', 'val', 'test')")
 
 
+def _songs(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "stripped_songs").select(F.col("poem_id").alias("id"), F.col("song_text").alias("text"))
+
+
 def _cross_split(spark: SparkSession, d: str) -> DataFrame:
-    records = _t(spark, d, "stripped_songs").select(F.col("poem_id").alias("id"), F.col("song_text").alias("text"))
     sides = _sides(spark, d).select("id", (F.col("split") == "train").alias("train"), (F.col("split") != "train").alias("held_out"))
-    return cross_split.near_duplicates_across(records, sides)
+    return cross_split.near_duplicates_across(_songs(spark, d), sides)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -115,7 +118,7 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     """Held-out poems with a partner in train, by split and author."""
     songs = _t(spark, d, "stripped_songs").select("poem_id", "author")
     named = contributor_cap.contributors(songs, "author", _t(spark, d, "authors"), ["author", "author_latin"], "author_id")
-    return cross_split.overlap_report(_cross_split(spark, d), _sides(spark, d), named.select(F.col("poem_id").alias("id"), F.col("contributor").alias("source")))
+    return cross_split.overlap_report(_songs(spark, d), _sides(spark, d), named.select(F.col("poem_id").alias("id"), F.col("contributor").alias("source")))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,6 @@
 import random
 
-from stihora.llm.cross_split import near_duplicates_across, text_classes
+from stihora.llm.cross_split import near_duplicates_across, overlap_report, text_classes
 
 
 def test_near_copies_across_splits_are_found_and_others_are_not(spark):
@@ -43,3 +43,25 @@ def test_very_many_copies_are_paired_with_the_first_of_the_other_side(spark):
 
 def test_empty_tables_give_no_rows(spark):
     assert near_duplicates_across(spark.createDataFrame([], "id long, text string"), spark.createDataFrame([], "id long, train boolean, held_out boolean")).count() == 0
+
+
+def test_only_exact_copies_are_represented_by_the_first(spark):
+    text = "една иста песна за реката и гората"
+    records = spark.createDataFrame([(i, text.replace(" ", " " * (1 + i))) for i in range(16)], "id long, text string")
+    sides = spark.createDataFrame([(i, i < 12, i >= 12) for i in range(16)], "id long, train boolean, held_out boolean")
+    got = {(r.a, r.b) for r in near_duplicates_across(records, sides, copies_at_most=3).collect()}
+    assert got == {(a, b) for a in range(12) for b in range(12, 16)}
+
+
+def test_the_report_counts_all_copies(spark):
+    text = "една иста песна за реката и гората што спие под снегот"
+    near = text.replace("снегот", "ѕвездите")
+    texts = [(0, near), (1, text), (2, text)] + [(i, text) for i in range(10, 1210)] + [(3000, "друго"), (3001, "сосема трето"), (3002, None)]
+    splits = [(0, "train"), (1, "train"), (2, "train"), (2, "test")] + [(i, "val") for i in range(10, 1210)] + [(3000, "val"), (3001, "train"), (3002, "train"), (3002, "val"), (4000, "val")]
+    texts.append((4000, text))
+    texts.append((4000, near))  # two texts of one record: no partner counts twice
+    records = spark.createDataFrame(texts, "id long, text string")
+    sides = spark.createDataFrame(splits, "id long, split string")
+    sources = spark.createDataFrame([(i, "a") for i in range(1300)], "id long, source string")
+    got = {(r.split, r.source): (r.n_records, r.n_pairs) for r in overlap_report(records, sides, sources).collect()}
+    assert got == {("val", "a"): (1200, 3600), ("test", "a"): (1, 3), ("val", None): (2, 4)}
