@@ -265,7 +265,7 @@ def w10_exclusive_claims(spark, d):
 @query()
 def w11_least_used(spark, d):
     """For each slot the candidate that its poem used least so far."""
-    t = R.content(tokens(spark, d)).filter("pos = 'NOUN'")
+    t = R.content(tokens(spark, d))
     top = C.ranked(C.composite(pool(spark, d), "slot").withColumn("tier", F.lit(0)), "slot").groupBy("slot").agg(F.collect_list(F.struct("lemma", "score")).alias("candidates"))
     slots = t.select("poem_id", (F.col("line_no") * 1000 + F.col("tok_no")).alias("place"), F.concat_ws("|", "author", "pos").alias("slot"))
     return Q.least_used(slots.join(top, "slot").select("poem_id", "place", "candidates"), "poem_id", "place")
@@ -281,7 +281,8 @@ def w12_word_spans(spark, d):
 @query()
 def w13_no_neighbours(spark, d):
     """Poems of each split in an order in which neighbours have different authors."""
-    s = table(spark, d, "poem_splits").filter("split = 'val'").select("split", "poem_id", "author").dropna().distinct()
+    label = F.lower(F.regexp_replace("split", r"^\s+|\s+$", "")).alias("split")
+    s = table(spark, d, "poem_splits").select(label, "poem_id", "author").dropna().distinct()
     return Q.order_without_neighbours(s, "split", "poem_id", "author")
 
 
