@@ -25,8 +25,9 @@ LOOKALIKE_BY_CAPITAL = dict(zip("hbmtk", "нвмтк", strict=True)) | dict(zip(
 
 #: What folding gives for characters that vanish, such as marks and invisible characters.
 GONE = np.uint32(0xFFFFFFFF)
-_B = np.uint64(0x9E3779B97F4A7C15 | 1)
-_B_INV = np.uint64(pow(int(_B), -1, 1 << 64))
+_PRIME = np.uint64(2**31 - 1)
+_BASES = (1_103_515_245, 1_812_433_253)
+_TABLES: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -112,26 +113,76 @@ def word_spans(f: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, off)
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for x below 2**62."""
+    x = (x & _PRIME) + (x >> np.uint64(31))
+    x = (x & _PRIME) + (x >> np.uint64(31))
+    x -= _PRIME * (x >= _PRIME)
+    return x
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """Powers 0 to n of a base modulo the prime; the table grows by doubling and is kept."""
+    table = _TABLES.get(base)
+    if table is None:
+        table = np.ones(1, np.uint64)
+    while len(table) <= n:
+        step = np.uint64(int(table[-1]) * base % int(_PRIME))
+        table = np.concatenate([table, _reduced(table * step)])
+    _TABLES[base] = table
+    return table
+
+
 def prefix_hash(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of value times base**place modulo 2**64, and the inverse powers of the base."""
-    n = len(values)
-    power = np.full(n, _B, np.uint64)
-    inverse = np.full(n + 1, _B_INV, np.uint64)
-    if n:
-        power[0] = 1
-    inverse[0] = 1
-    np.cumprod(power, out=power)
-    np.cumprod(inverse, out=inverse)
-    power *= mix(values)
-    p = np.zeros(n + 1, np.uint64)
-    np.cumsum(power, out=p[1:])
-    return p, inverse
+    """Prefix sums of value times base**place, for two bases modulo a prime of 31 bits."""
+    mixed = mix(values)
+    sums = []
+    for base, part in zip(_BASES, (mixed >> np.uint64(33), mixed & _PRIME), strict=True):
+        p = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(_reduced(part * _powers(base, len(values))[: len(values)]), out=p[1:])
+        sums.append(p)
+    return sums[0], sums[1]
 
 
 def span_hash(hashed: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans; equal spans have equal hashes wherever they stand."""
-    p, inverse = hashed
-    return mix((p[ends] - p[starts]) * inverse[starts])
+    """64-bit hashes of spans; equal spans have equal hashes wherever they stand.
+
+    The sums are taken modulo a prime: modulo a power of two, some
+    self-similar texts of a thousand letters would collide whatever the base.
+    """
+    parts = []
+    for base, p in zip(_BASES, hashed, strict=True):
+        inverse = _powers(pow(base, -1, int(_PRIME)), len(p))
+        parts.append(_reduced(_reduced(p[ends] - p[starts]) * inverse[starts]))
+    return mix((parts[0] << np.uint64(31)) | parts[1])
+
+
+def distinct_spans(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One span of each different text, and for every span the place of its own among those.
+
+    Spans are grouped by hash and then compared letter by letter with the
+    first of their group, so spans with equal hashes but other letters stay
+    apart.
+    """
+    _, first, which = np.unique(span_hash(prefix_hash(cp), starts, ends), return_index=True, return_inverse=True)
+    lens = ends - starts
+    like = lens == lens[first[which]]
+    n = np.where(like, lens, 0)
+    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    differ = cp[np.repeat(starts, n) + at] != cp[np.repeat(starts[first[which]], n) + at]
+    if differ.any():
+        like[np.repeat(np.arange(len(n)), n)[differ]] = False
+    if not like.all():
+        own: dict[bytes, int] = {}
+        extra = []
+        for i in np.flatnonzero(~like).tolist():
+            text = cp[starts[i] : ends[i]].tobytes()
+            if text not in own:
+                own[text] = len(first) + len(extra)
+                extra.append(i)
+            which[i] = own[text]
+        first = np.append(first, extra)
+    return first, which
 
 
 def word_hashes(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:

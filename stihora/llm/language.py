@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from .arrays import chunks, codepoints, prefix_hash, span_hash
+from .arrays import chunks, codepoints, distinct_spans
 from .normal_form import repair_characters, repairs, script
 
 #: Hashed n-grams, their lengths, how often the word itself counts, centroids of a language, and k-means rounds.
@@ -118,7 +118,7 @@ class Model:
     weights: np.ndarray
     centroids: np.ndarray
     owner: np.ndarray
-    scores: dict[int, np.ndarray] = field(default_factory=dict, repr=False)
+    scores: dict[bytes, np.ndarray] = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"scores": {}}
@@ -137,12 +137,13 @@ class Model:
         """Scores of all words, worked out once for each distinct one."""
         if len(self.scores) > CACHE_WORDS:
             self.scores.clear()
-        h, first, which = np.unique(span_hash(prefix_hash(cp), starts, ends), return_index=True, return_inverse=True)
+        first, which = distinct_spans(cp, starts, ends)
         rows = []
-        for key, s, e in zip(h.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True):
+        for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True):
+            key = cp[s:e].tobytes()
             row = self.scores.get(key)
             if row is None:
-                row = self.scores[key] = self.word_score(cp[s:e].tobytes().decode("utf-32-le", "replace"))
+                row = self.scores[key] = self.word_score(key.decode("utf-32-le", "replace"))
             rows.append(row)
         return np.array(rows).reshape(-1, len(self.languages))[which]
 

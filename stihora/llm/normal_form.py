@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOOKALIKE_GREEK, LOOKALIKE_LATIN, chunks, codepoints, prefix_hash, span_hash
+from .arrays import LOOKALIKE_GREEK, LOOKALIKE_LATIN, chunks, codepoints, distinct_spans
 
 #: Texts without any of these characters are in the consistent form already (Java pattern).
 SUSPICIOUS = r"[\p{IsLatin}\p{IsGreek}\p{M}\p{Cf}\u034F\u115F\u1160\u17B4\u17B5\u3164\uFFA0\uFF01-\uFF5E\uFFE0-\uFFE6]|[\p{Zs}&&[^ ]]"
@@ -117,7 +117,8 @@ def corpus_vocabulary(df: DataFrame, text_col: str) -> DataFrame:
                 last = w.copy()
                 last[:-1] &= ~w[1:] | edge[1:-1]
                 s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-                _, at, n = np.unique(span_hash(prefix_hash(cp), s, e), return_index=True, return_counts=True)
+                at, which = distinct_spans(cp, s, e)
+                n = np.bincount(which, minlength=len(at))
                 tokens = [cp[x:y].tobytes().decode("utf-32-le", "replace") for x, y in zip(s[at], e[at], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(n, pa.int64())], names=["token", "n"])
 

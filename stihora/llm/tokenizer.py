@@ -9,8 +9,10 @@ to right is a running maximum over run starts.  The two irregular rules of the
 vocabulary's split pattern, the blank that joins the following run and the
 English contractions, are local corrections of the boundaries found.
 
-The slices are hashed, merged once for each distinct slice of a batch, and the
-merged pieces are kept in a cache of bounded size for each Python worker.
+The slices are told apart by hash and then letter by letter, merged once for
+each distinct slice of a batch, and the merged pieces are kept by their letters
+in a cache of bounded size for each Python worker.  The rank file is read by
+the driver and broadcast; executors need no file of their own.
 Character offsets of every token can be kept, so that any token can be decoded
 or traced to its place in the text.
 """
@@ -18,6 +20,7 @@ or traced to its place in the text.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import os
 import sys
@@ -29,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrays import chunks, codepoints, prefix_hash, span_hash
+from .arrays import chunks, codepoints, distinct_spans
 
 #: Where the rank files lie unless a path is given.
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -99,10 +102,9 @@ def boundaries(cp: np.ndarray, off: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """Ranks of byte sequences and the merging of slices."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.slices: dict[int, tuple[int, ...]] = {}
+    def __init__(self, ranks: bytes):
+        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line.strip())}
+        self.slices: dict[bytes, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> list[tuple[int, int]]:
         """Tokens of one slice as (id, bytes); pairs of least rank merge first, left before right.
@@ -135,26 +137,41 @@ class Vocabulary:
         return [(ranks[p], len(p)) for p in parts if p is not None]
 
 
-@lru_cache(4)
+_VOCABULARIES: dict[str, Vocabulary] = {}
+
+
+def vocabulary_of(digest: str, ranks: bytes) -> Vocabulary:
+    """The vocabulary of a rank file's content, parsed once in each process."""
+    if digest not in _VOCABULARIES:
+        _VOCABULARIES[digest] = Vocabulary(ranks)
+    return _VOCABULARIES[digest]
+
+
+def rank_file(path: str) -> tuple[str, bytes]:
+    """Digest and content of a rank file."""
+    with open(path, "rb") as f:
+        ranks = f.read()
+    return hashlib.sha256(ranks).hexdigest(), ranks
+
+
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    return vocabulary_of(*rank_file(path))
 
 
-def encode_batch(texts: list[str | None], path: str, offsets: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+def encode_batch(texts: list[str | None], vocab: Vocabulary, offsets: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """Ids of all texts in a row, the id offsets of the texts, and each token's character offset within its text."""
-    vocab = vocabulary(path)
     cp, off = codepoints(texts)
     starts = boundaries(cp, off)
     ends = np.append(starts[1:], len(cp)) if len(starts) else starts
-    _, first, which = np.unique(span_hash(prefix_hash(cp), starts, ends), return_index=True, return_inverse=True)
-    keys = span_hash(prefix_hash(cp), starts[first], ends[first]).tolist()
+    first, which = distinct_spans(cp, starts, ends)
     if len(vocab.slices) > CACHE_SLICES:
         vocab.slices.clear()
     lists = []
-    for key, s, e in zip(keys, starts[first].tolist(), ends[first].tolist(), strict=True):
+    for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True):
+        key = cp[s:e].tobytes()
         got = vocab.slices.get(key)
         if got is None:
-            piece = cp[s:e].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace")
+            piece = key.decode("utf-32-le", "surrogatepass").encode("utf-8", "replace")
             got = vocab.slices[key] = tuple(i for i, _ in vocab.merge(piece))
         lists.append(got)
     lens = np.array([len(x) for x in lists], np.int64)
@@ -189,13 +206,15 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     read.  The plan is a scan and one Arrow map, without a shuffle.
     """
     path = vocabulary_path or os.path.join(TOKENIZER_DIR, "byte_bpe_50k.tiktoken")
+    shared = df.sparkSession.sparkContext.broadcast(rank_file(path))
     kind = df.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary_of(*shared.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in chunks(texts):
-                ids, off, places = encode_batch(texts[a:b], path, offsets)
+                ids, off, places = encode_batch(texts[a:b], vocab, offsets)
                 columns = [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()))]
                 if offsets:
                     columns.append(pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(places, pa.int32())))

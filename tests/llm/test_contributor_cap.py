@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from stihora.llm.contributor_cap import contributors, over_cap
+from stihora.llm.contributor_cap import at_cutoff, contributors, over_cap
 
 
 def brute(rows, cap):
@@ -24,6 +24,22 @@ def test_records_beyond_the_cap_equal_a_plain_ranking(spark, bins, rank):
     assert len(got) == len(set(got)) and set(got) == brute(rows, 37)
 
 
+def test_only_borderline_bins_are_left_to_be_ranked(spark):
+    rows = [("a", i, i / 1000) for i in range(1000)] + [("b", i, 0.5) for i in range(1000, 1010)]
+    df = spark.createDataFrame([(*r, 100) for r in rows], "contributor string, record long, quality double, need long")
+    out, borderline = at_cutoff(df, 50)
+    out, borderline = [r.record for r in out.collect()], borderline.collect()
+    assert 0 < len(borderline) <= 20 and {r.contributor for r in borderline} == {"a"}
+    assert len(out) + len(borderline) - borderline[0].need == 900 and max(out) < min(r.record for r in borderline)
+
+
+def test_record_ids_of_any_size_are_told_apart(spark):
+    top = 2**62
+    df = spark.createDataFrame([("a", top - i, None) for i in range(60)] + [("a", -top + i, None) for i in range(3)], "contributor string, record long, quality double")
+    got = {r.record for r in over_cap(df, 10, bins=4, rank_at_most=2).collect()}
+    assert got == {top - i for i in range(53)}
+
+
 def test_ties_go_to_the_smaller_record(spark):
     df = spark.createDataFrame([("a", i, 0.5) for i in range(30)] + [("a", 50, None)], "contributor string, record long, quality double")
     assert sorted(r.record for r in over_cap(df, 28, bins=3, rank_at_most=4).collect()) == [28, 29, 50]
