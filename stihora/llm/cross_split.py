@@ -1,4 +1,11 @@
-"""The same or nearly the same records on both sides of a split (problem 3)."""
+"""The same or nearly the same records on both sides of a split (problem 3).
+
+Records with the same words are one class, and one record stands for it.
+Minwise hashes of word shingles are made for those records only, and banded;
+buckets with both sides make candidates, whose whole texts are then compared.
+A bucket that very many different texts share is an ordinary skewed key: the
+join splits it over tasks, and only pairs of candidates leave it.
+"""
 
 from __future__ import annotations
 
@@ -25,11 +32,17 @@ SIMILARITY = 0.8
 COPIES_AT_MOST = 1_000
 
 
-def signatures(texts: list[str | None], shingle: int, bands: int, band_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each text the hash of its words (0 without words), its number of words, and its band keys."""
+def text_keys_of(words: np.ndarray, off: np.ndarray) -> pa.Array:
+    """A key of 16 bytes for the words of each text: two hashes of different kinds, so that different texts do not meet at any size of corpus."""
+    parts = [span_hash(prefix_hash(w), off[:-1], off[1:]) for w in (words, mix(words ^ np.uint64(0x5DEECE66D)))]
+    raw = np.ascontiguousarray(np.stack(parts, axis=1)).tobytes()
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(off) - 1, [None, pa.py_buffer(raw)]).cast(pa.binary())
+
+
+def band_keys(texts: list[str | None], shingle: int, bands: int, band_rows: int) -> np.ndarray:
+    """The band keys of each text, which has a word at least."""
     words, off = word_hashes(texts)
     n = np.diff(off)
-    key = np.where(n > 0, span_hash(prefix_hash(words), off[:-1], off[1:]), np.uint64(0))
     grams, _, goff = gram_hashes(words, off, shingle)
     short = (n > 0) & (np.diff(goff) == 0)  # fewer words than a shingle: the whole text is one
     sizes = np.where(short, 1, np.diff(goff))
@@ -37,7 +50,7 @@ def signatures(texts: list[str | None], shingle: int, bands: int, band_rows: int
     np.cumsum(sizes, out=all_off[1:])
     values = np.empty(all_off[-1], np.uint64)
     own = np.repeat(short, sizes)
-    values[own], values[~own] = key[short], grams
+    values[own], values[~own] = span_hash(prefix_hash(words), off[:-1], off[1:])[short], grams
     some = np.flatnonzero(sizes)
     keys = np.zeros((len(texts), bands), np.uint64)
     at = all_off[:-1][some]
@@ -51,7 +64,7 @@ def signatures(texts: list[str | None], shingle: int, bands: int, band_rows: int
             if len(some):
                 band = mix(band ^ np.minimum.reduceat(scrambled, at))
         keys[some, b] = band
-    return key, n, keys
+    return keys
 
 
 def close_classes(records: DataFrame, sides: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, band_rows: int = BAND_ROWS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -63,9 +76,9 @@ def close_classes(records: DataFrame, sides: DataFrame, shingle: int = SHINGLE,
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in chunks(texts):
-                key, _, keys = signatures(texts[a:b], shingle, bands, band_rows)
+                keys = band_keys(texts[a:b], shingle, bands, band_rows)
                 offsets = pa.array(np.arange(0, (b - a + 1) * bands, bands), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(key.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel().view(np.int64)))], names=["id", "key", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel().view(np.int64)))], names=["id", "keys"])
 
     texts = records.select(F.col("id").cast("bigint").alias("id"), "text").filter("id is not null")
     sides = (
@@ -74,13 +87,26 @@ def close_classes(records: DataFrame, sides: DataFrame, shingle: int = SHINGLE,
         .filter("train or held_out")
     )
     members = written(_keyed(texts).join(sides, "id"))
-    # one record stands for each different text, so a bucket never holds two copies of a text; only its bands are made
-    classes = written(members.groupBy("key").agg(F.min("id").alias("id"), F.max("train").alias("train"), F.max("held_out").alias("held_out")))
-    sketches = texts.mapInArrow(sketch, "id bigint, key bigint, keys array<bigint>").join(classes, ["id", "key"])
-    banded = sketches.select("key", "train", "held_out", F.explode("keys").alias("band"))
-    left = banded.filter("held_out").select("band", F.col("key").alias("key_e"))
-    right = banded.filter("train").select("band", F.col("key").alias("key_t"))
-    candidates = written(left.join(right, "band").filter("key_e <> key_t").select("key_e", "key_t").distinct())
+    # one record stands for each different text, so a bucket never holds two copies of a text, and only its bands are made;
+    # a record that was delivered with several texts may stand for several classes
+    classes = members.groupBy("key").agg(F.min("id").alias("id"), F.max("train").alias("train"), F.max("held_out").alias("held_out"))
+    classes = written(classes)
+    own = classes.groupBy("id").agg(F.max("train").alias("train"), F.max("held_out").alias("held_out"))
+    banded = texts.join(own.select("id"), "id", "left_semi").mapInArrow(sketch, "id bigint, keys array<bigint>").select("id", F.explode("keys").alias("band"))
+    banded = banded.join(own, "id")
+    left = banded.filter("held_out").select("band", F.col("id").alias("id_e"))
+    right = banded.filter("train").select("band", F.col("id").alias("id_t"))
+    near = left.join(right, "band").filter("id_e <> id_t").select("id_e", "id_t").distinct()
+    keys = classes.select("id", "key", "train", "held_out")
+    candidates = written(
+        near.join(keys.filter("held_out").select(F.col("id").alias("id_e"), F.col("key").alias("key_e")), "id_e")
+        .join(keys.filter("train").select(F.col("id").alias("id_t"), F.col("key").alias("key_t")), "id_t")
+        .select("key_e", "key_t")
+    )
+    # the texts of one record that stands for several classes
+    several = classes.groupBy("id").agg(F.collect_list(F.struct("key", "train", "held_out")).alias("own")).filter("size(own) > 1")
+    within = several.select(F.explode("own").alias("e"), "own").filter("e.held_out").select("e", F.explode("own").alias("t")).filter("t.train and e.key <> t.key").select("e.key", "t.key")
+    candidates = candidates.union(within)
 
     needed = written(candidates.select(F.col("key_e").alias("key")).union(candidates.select("key_t")).distinct().join(classes.select("key", "id"), "key"))
 
@@ -90,11 +116,11 @@ def close_classes(records: DataFrame, sides: DataFrame, shingle: int = SHINGLE,
             for a, b in chunks(rows):
                 words, off = word_hashes(rows[a:b])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(span_hash(prefix_hash(words), off[:-1], off[1:]).view(np.int64)), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(words.view(np.int64)))],
+                    [batch.column(0).slice(a, b - a), text_keys_of(words, off), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(words.view(np.int64)))],
                     names=["id", "key", "words"],
                 )
 
-    words = texts.join(needed.select("id"), "id", "left_semi").mapInArrow(words_of, "id bigint, key bigint, words array<bigint>").groupBy("key").agg(F.any_value("words").alias("words"))
+    words = texts.join(needed.select("id"), "id", "left_semi").mapInArrow(words_of, "id bigint, key binary, words array<bigint>").groupBy("key").agg(F.any_value("words").alias("words"))
     pairs = candidates.join(words.toDF("key_e", "words_e"), "key_e").join(words.toDF("key_t", "words_t"), "key_t")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,9 +136,9 @@ def close_classes(records: DataFrame, sides: DataFrame, shingle: int = SHINGLE,
                 if same >= similarity * most:
                     out.append((ka, kb, same / most, _jaccard(a, b, shingle)))
             columns = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["key_e", "key_t", "similarity", "jaccard"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.float64(), pa.float64()), strict=True)], names=["key_e", "key_t", "similarity", "jaccard"])
 
-    close = pairs.mapInArrow(verify, "key_e bigint, key_t bigint, similarity double, jaccard double")
+    close = pairs.mapInArrow(verify, "key_e binary, key_t binary, similarity double, jaccard double")
     return sides, members, close
 
 
@@ -168,9 +194,9 @@ def _keyed(records: DataFrame) -> DataFrame:
             texts = batch.column(1).to_pylist()
             for a, b in chunks(texts):
                 words, off = word_hashes(texts[a:b])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(span_hash(prefix_hash(words), off[:-1], off[1:]).view(np.int64)), pa.array(np.diff(off).astype(np.int32))], names=["id", "exact", "key", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), text_keys_of(words, off), pa.array(np.diff(off).astype(np.int32))], names=["id", "exact", "key", "n"])
 
-    keyed = records.select(F.col("id").cast("bigint").alias("id"), "text", F.xxhash64("text").alias("exact")).filter("id is not null").mapInArrow(keys, "id bigint, exact bigint, key bigint, n int")
+    keyed = records.select(F.col("id").cast("bigint").alias("id"), "text", F.xxhash64("text").alias("exact")).filter("id is not null").mapInArrow(keys, "id bigint, exact bigint, key binary, n int")
     return keyed.filter("n > 0").select("id", "key", "exact").distinct()
 
 
@@ -179,10 +205,21 @@ def text_keys(records: DataFrame) -> DataFrame:
     return _keyed(records).select("id", "key").distinct()
 
 
-def text_classes(records: DataFrame) -> DataFrame:
-    """(id, cls, n_copies): the class of records with the same words, named by its smallest id."""
+def text_classes(records: DataFrame, sides: DataFrame | None = None) -> DataFrame:
+    """(id, cls, n_copies[, n_links]): the class of records with the same words, named by its smallest id.
+
+    With `sides` also the number of other classes across the split that are
+    nearly the same; a record without a side has none.
+    """
     keyed = text_keys(records)
-    return keyed.join(keyed.groupBy("key").agg(F.min("id").alias("cls"), F.count("*").alias("n_copies")), "key").select("id", "cls", "n_copies")
+    named = keyed.join(keyed.groupBy("key").agg(F.min("id").alias("cls"), F.count("*").alias("n_copies")), "key")
+    if sides is None:
+        return named.select("id", "cls", "n_copies")
+    _, _, close = close_classes(records, sides)
+    close = written(close)
+    ends = close.select(F.col("key_e").alias("key"), F.col("key_t").alias("other")).union(close.select("key_t", "key_e")).distinct()
+    linked = named.join(ends.groupBy("key").agg(F.count("*").alias("n_links")), "key", "left")
+    return linked.select("id", "cls", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def _jaccard(a: np.ndarray, b: np.ndarray, shingle: int) -> float:

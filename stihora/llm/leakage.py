@@ -1,4 +1,10 @@
-"""Evaluation passages inside a corpus (problem 7)."""
+"""Evaluation passages inside a corpus (problem 7).
+
+Both sides are winnowed: the least hash of each window of grams is kept.  One
+shared fingerprint is enough for an item and a document to be compared, so the
+guarantee of winnowing is that of the operator: a case cannot be missed while
+it holds a run of GRAM + WINDOW - 1 shared words.
+"""
 
 from __future__ import annotations
 
@@ -12,13 +18,15 @@ from pyspark.sql import functions as F
 from .arrays import chunks, gram_hashes, window_minima, word_hashes
 from .shared import written
 
-#: Words of a fingerprinted gram, and grams of a winnowing window.  Every run of GRAM + WINDOW - 1 = 5
-#: shared words has a fingerprint in common; a stretch with one word in eight changed has runs of seven.
-GRAM, WINDOW = 3, 3
+#: Words of a fingerprinted gram, and grams of a winnowing window.  Every run of GRAM + WINDOW - 1 = 4
+#: shared words has a fingerprint in common.  A stretch of ten words or more with one in eight changed,
+#: rounded, always has such a run: twelve words with two changed leave ten in three runs.
+GRAM, WINDOW = 3, 2
 #: Consecutive words of an item that make a case by themselves.
 RUN = 12
-#: Share of an item's words that a changed stretch must span, and most of them that may be changed.
-STRETCH, CHANGED = 0.5, 0.17
+#: Share of an item's words that a changed stretch must span, the fewest words of one, and the share of
+#: words that may be changed, rounded to whole words.
+STRETCH, SHORTEST, CHANGED = 0.5, 10, 1 / 8
 #: Words of all items together up to which their index is broadcast (16 bytes a word); beyond it, joins are used.
 BROADCAST_WORDS = 2_000_000
 
@@ -30,6 +38,11 @@ def fingerprints(words: np.ndarray, off: np.ndarray, gram: int, window: int) ->
     return h[at], start[at], np.searchsorted(goff, at, "right") - 1
 
 
+def may_change(n: np.ndarray | int, changed: float) -> np.ndarray | int:
+    """How many of n words may be changed: the share, rounded half up."""
+    return np.floor(n * changed + 0.5).astype(np.int64) if isinstance(n, np.ndarray) else int(n * changed + 0.5)
+
+
 def stretches(item: np.ndarray, doc: np.ndarray, hits: list[tuple[int, int]], run: int = RUN, stretch: float = STRETCH, changed: float = CHANGED) -> tuple[int, int] | None:
     """(words in common, first word in the document) of the best passage of an item in a document, if it is a case.
 
@@ -39,7 +52,7 @@ def stretches(item: np.ndarray, doc: np.ndarray, hits: list[tuple[int, int]], ru
     order in the document with at most the given share of words changed.
     """
     best = None
-    n, slack = len(item), max(2, len(item) // 6)
+    n = len(item)
     done: set[tuple[int, int]] = set()
     for p, k in hits:
         if (p, k) in done:
@@ -53,59 +66,88 @@ def stretches(item: np.ndarray, doc: np.ndarray, hits: list[tuple[int, int]], ru
             e, f = e + 1, f + 1
         if e - a >= run and (best is None or e - a > best[0]):
             best = (e - a, a)
-    seen: set[int] = set()
-    for d in sorted(p - k for p, k in hits):
-        if any(abs(d - s) <= slack // 2 for s in seen):
+    least = max(SHORTEST, int(np.ceil(stretch * n)))
+    slack = may_change(n, changed) + 1
+    own = np.sort(item)
+    seen = None
+    for d in sorted({p - k for p, k in hits}):
+        if seen is not None and d - seen <= slack:
             continue
-        seen.add(d)
-        near = [(p, k) for p, k in hits if abs(p - k - d) <= slack]
-        if len(near) < 2:
+        seen = d
+        low, high = max(0, d - slack), min(len(doc), d + n + 2 * slack)
+        part = doc[low:high]
+        shared = own[np.minimum(np.searchsorted(own, part), n - 1)] == part
+        if int(shared.sum()) < least - may_change(least, changed):  # too few words of the item stand here in any order
             continue
-        low, high = max(0, d - slack), min(len(doc), d + n + slack)
-        got = _aligned(item, doc[low:high], stretch, changed)
+        got = _aligned(item, part, least, changed)
         if got and (best is None or got[0] > best[0]):
             best = (got[0], low + got[1])
     return best
 
 
-def _aligned(item: np.ndarray, part: np.ndarray, stretch: float, changed: float) -> tuple[int, int] | None:
-    """(words in common, first word in part) of the stretch of the item with most words in order, if it is a case."""
+def _aligned(item: np.ndarray, part: np.ndarray, least: int, changed: float) -> tuple[int, int] | None:
+    """(words in common, first word in part) of the best stretch of the item in order, if it is a case.
+
+    A local alignment, in which a row of the item is one array operation.
+    Changed words cost so little that a shared word at the edge of a case
+    outweighs all changes that may follow it.
+    The paths to all ends that a case could have are traced back, the best
+    first, and the best stretch on each is taken.
+    """
     n, m = len(item), len(part)
+    cost = 2.0 ** -(may_change(n, changed) + 2).bit_length()
     equal = item[:, None] == part[None, :]
-    table = np.zeros((n + 1, m + 1), np.int32)
-    for i in range(n):  # longest common subsequence, a row at a time
-        row = np.maximum(table[i, 1:], np.where(equal[i], table[i, :-1] + 1, 0))
-        table[i + 1, 1:] = np.maximum.accumulate(row)
-    pairs = []
-    i, j = n, m
-    while i and j:
-        if equal[i - 1, j - 1] and table[i, j] == table[i - 1, j - 1] + 1:
-            i, j = i - 1, j - 1
-            pairs.append((i, j))
-        elif table[i - 1, j] >= table[i, j - 1]:
-            i -= 1
-        else:
-            j -= 1
-    pairs.reverse()
+    score = np.zeros((n + 1, m + 1), np.float32)
+    step = np.arange(m + 1, dtype=np.float32) * cost
+    for i in range(n):
+        row = np.maximum(score[i, :-1] + np.where(equal[i], 1.0, -cost), score[i, 1:] - cost)
+        score[i + 1, 1:] = np.maximum(row, 0)
+        score[i + 1] = np.maximum.accumulate(score[i + 1] + step) - step
+    change = may_change(least, changed)
+    ends = np.flatnonzero(score >= least - change - cost * change)
     best = None
-    for x in range(len(pairs)):
-        for y in range(len(pairs) - 1, x, -1):
-            if best and y - x + 1 <= best[0]:
-                break
-            span = pairs[y][0] - pairs[x][0] + 1
-            wide = pairs[y][1] - pairs[x][1] + 1
-            if span >= stretch * n and y - x + 1 >= (1 - changed) * max(span, wide):
-                best = (y - x + 1, pairs[x][1])
-                break
+    taken = np.zeros(score.shape, bool)
+    for flat in ends[np.argsort(-score.ravel()[ends], kind="stable")].tolist():
+        i, j = divmod(flat, m + 1)
+        path = []
+        while i and j and score[i, j] > 0 and not taken[i, j]:
+            taken[i, j] = True
+            s = score[i, j]
+            if equal[i - 1, j - 1] and s == score[i - 1, j - 1] + 1:
+                i, j = i - 1, j - 1
+                path.append((i, j))
+            elif s == score[i - 1, j - 1] - cost:
+                i, j = i - 1, j - 1
+            elif s == score[i - 1, j] - cost:
+                i -= 1
+            else:
+                j -= 1
+        if len(path) >= least - change:
+            got = _best_stretch(np.array(path[::-1]), least, changed)
+            if got and (best is None or got[0] > best[0]):
+                best = got
     return best
 
 
+def _best_stretch(path: np.ndarray, least: int, changed: float) -> tuple[int, int] | None:
+    """(words in common, first word in part) of the longest part of an alignment that is long and whole enough."""
+    x, y = np.triu_indices(len(path), 1)
+    span = path[y, 0] - path[x, 0] + 1
+    wide = path[y, 1] - path[x, 1] + 1
+    longer = np.maximum(span, wide)
+    good = (span >= least) & (longer - (y - x + 1) <= may_change(longer, changed))
+    if not good.any():
+        return None
+    at = int(np.argmax(np.where(good, y - x + 1, 0)))
+    return int(y[at] - x[at] + 1), int(path[x[at], 1])
+
+
 def leaked_items(docs: DataFrame, items: DataFrame, gram: int = GRAM, window: int = WINDOW, run: int = RUN, stretch: float = STRETCH, changed: float = CHANGED, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """(doc_id, item_id, n_words, first_word): documents that hold a passage of an item.
 
     A passage is `run` consecutive words of the item, or a stretch of at least
-    the share `stretch` of its words in order with at most the share `changed`
-    of them replaced or dropped.  Case, punctuation, spacing and look-alike
+    the share `stretch` of its words, and SHORTEST words, in order with at most
+    the share `changed` of them replaced or dropped, rounded to whole words.  Case, punctuation, spacing and look-alike
     characters do not count.
 
     Both sides are winnowed with the same window, so every run of
@@ -113,7 +155,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, gram: int = GRAM, window: in
     on the whole texts.  While all items together have few words, their index
     is broadcast and a document is read and judged in one pass without a
     shuffle; beyond that, fingerprints are joined, and only the texts with
-    shared fingerprints are read again.  Null, empty and wordless texts hold
+    shared fingerprints are read again.  A gram that very many documents hold
+    is then a skewed key, which the adaptive join splits over tasks.  Null, empty and wordless texts hold
     nothing; repeated rows count once; empty tables give no rows.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
@@ -156,7 +199,7 @@ def _by_broadcast(docs: DataFrame, items: DataFrame, gram: int, window: int, run
                         hits.setdefault((t, i), []).append((int(dstart[x] - doff[t]), int(start[y] - off[i])))
                 out = []
                 for (t, i), found in hits.items():
-                    if len(found) > 1 and (best := stretches(words[off[i] : off[i + 1]], dw[doff[t] : doff[t + 1]], found, run, stretch, changed)):
+                    if (best := stretches(words[off[i] : off[i + 1]], dw[doff[t] : doff[t + 1]], found, run, stretch, changed)):
                         out.append((doc_ids[a + t], int(ids[i]), *best))
                 yield _result(out)
 
@@ -192,7 +235,7 @@ def _by_join(docs: DataFrame, items: DataFrame, gram: int, window: int, run: int
     schema = "id bigint, print bigint, at int"
     of_docs = docs.mapInArrow(prints, schema).withColumnRenamed("id", "doc_id")
     of_items = items.mapInArrow(prints, schema).select(F.col("id").alias("item_id"), "print", F.col("at").alias("item_at"))
-    hits = written(of_docs.join(of_items, "print").groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("at", "item_at")).alias("hits")).filter("size(hits) > 1"))
+    hits = written(of_docs.join(of_items, "print").groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("at", "item_at")).alias("hits")))
     doc_words = docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(words_of, "id bigint, words array<bigint>").toDF("doc_id", "doc_words")
     item_words = items.join(hits.select("item_id").distinct(), "item_id", "left_semi").dropDuplicates(["item_id"]).mapInArrow(words_of, "id bigint, words array<bigint>").toDF("item_id", "item_words")
     joined = hits.join(doc_words, "doc_id").join(item_words, "item_id")

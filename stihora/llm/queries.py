@@ -84,6 +84,16 @@ def p2_links(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.SharedSpans(_records(spark, d)).membership()
 
 
+def p2_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The spans that very many texts share, with every record that holds one."""
+    return shared_spans.SharedSpans(_records(spark, d)).span_classes()
+
+
+def p2_repeats(spark: SparkSession, d: str) -> DataFrame:
+    """The maximal repeats of 100 characters or more: length, number of texts, and first place."""
+    return shared_spans.SharedSpans(_records(spark, d)).maximal_repeats().drop("text")
+
+
 def p2_coverage(spark: SparkSession, d: str) -> DataFrame:
     """How much of each record of 100 characters or more is found elsewhere."""
     return shared_spans.SharedSpans(_records(spark, d)).coverage()
@@ -99,19 +109,18 @@ def _songs(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "stripped_songs").select(F.col("poem_id").alias("id"), F.col("song_text").alias("text"))
 
 
-def _cross_split(spark: SparkSession, d: str) -> DataFrame:
-    sides = _sides(spark, d).select("id", (F.col("split") == "train").alias("train"), (F.col("split") != "train").alias("held_out"))
-    return cross_split.near_duplicates_across(_songs(spark, d), sides)
+def _two_sides(spark: SparkSession, d: str) -> DataFrame:
+    return _sides(spark, d).select("id", (F.col("split") == "train").alias("train"), (F.col("split") != "train").alias("held_out"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of poems across train and the held-out splits with the same or nearly the same text."""
-    return _cross_split(spark, d).select(F.col("a").alias("poem_a"), F.col("b").alias("poem_b"))
+    return cross_split.near_duplicates_across(_songs(spark, d), _two_sides(spark, d)).select(F.col("a").alias("poem_a"), F.col("b").alias("poem_b"))
 
 
 def p3_classes(spark: SparkSession, d: str) -> DataFrame:
-    """Poems with the same words as classes."""
-    return cross_split.text_classes(_t(spark, d, "stripped_songs").select(F.col("poem_id").alias("id"), F.col("song_text").alias("text")))
+    """Poems with the same words as classes, and the number of classes across the split that are nearly the same."""
+    return cross_split.text_classes(_songs(spark, d), _two_sides(spark, d))
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
@@ -128,7 +137,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_documents(spark: SparkSession, d: str) -> DataFrame:
     """Each affected document with the items it contains."""
-    found = leakage.leaked_items(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
+    # fingerprints are joined here, as for an index too large to be broadcast
+    found = leakage.leaked_items(_t(spark, d, "documents"), _t(spark, d, "eval_items"), broadcast_words=-1)
     return found.groupBy("doc_id").agg(F.array_sort(F.collect_list("item_id")).alias("items"), F.max("n_words").alias("longest"))
 
 

@@ -41,6 +41,21 @@ def test_very_many_copies_are_paired_with_the_first_of_the_other_side(spark):
     assert {(r.cls, r.n_copies) for r in text_classes(records).collect()} == {(0, 30)}
 
 
+def test_classes_have_their_links(spark):
+    text = "една иста песна за реката и гората што спие под снегот"
+    rows = [(1, text), (2, text.upper()), (3, text.replace("снегот", "ѕвездите")), (4, "сосема друга"), (5, None)]
+    sides = spark.createDataFrame([(1, True, False), (2, False, False), (3, False, True), (4, True, False)], "id long, train boolean, held_out boolean")
+    got = {tuple(r) for r in text_classes(spark.createDataFrame(rows, "id long, text string"), sides).collect()}
+    assert got == {(1, 1, 2, 1), (2, 1, 2, 1), (3, 3, 1, 1), (4, 4, 1, 0)}
+
+
+def test_a_large_family_of_near_copies_is_paired_whole(spark):
+    base = [f"збор{chr(1072 + i % 30)}{chr(1072 + i // 30)}" for i in range(40)]
+    rows = [(i, " ".join([*base[: i % 40], f"друг{chr(1072 + i % 30)}{chr(1072 + i // 30)}", *base[i % 40 + 1 :]])) for i in range(240)]
+    sides = spark.createDataFrame([(i, i % 4 > 0, i % 4 == 0) for i in range(240)], "id long, train boolean, held_out boolean")
+    assert near_duplicates_across(spark.createDataFrame(rows, "id long, text string"), sides).count() == 60 * 180
+
+
 def test_empty_tables_give_no_rows(spark):
     assert near_duplicates_across(spark.createDataFrame([], "id long, text string"), spark.createDataFrame([], "id long, train boolean, held_out boolean")).count() == 0
 
