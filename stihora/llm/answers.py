@@ -2,7 +2,8 @@
 
 Ordered rules over each answer, once reasoning, markup, introductions and
 closing remarks are taken off: no prompt, nothing left, a refusal, the prompt
-copied, another language, an abrupt end.  Every rule that applies is emitted.
+copied, another language or none known, an unclosed delimiter or an abrupt
+end.  Every rule that applies is emitted.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .normal_form import repair_characters
 #: The defects in their order; the first that applies is an example's defect.
 DEFECTS = ("no_prompt", "empty", "refusal", "copy", "wrong_language", "truncated")
 #: Share of an answer's words that must be the prompt's, in the same order, for a copy.
-COPIED = 0.75
+COPIED = 0.8
 
 _REASONING = regex.compile(r"(?is)<(think|thinking|reasoning|reflection|analysis|scratchpad)\b[^>]*>.*?(?:</\1\s*>|$)|\[(think|thinking|reasoning)\].*?(?:\[/\2\]|$)|<\|channel\|?>\s*(?:analysis|thought).*?(?:<\|?channel\|>|<\|message\|>|$)")
 _TAGS = regex.compile(r"<\|[^|<>\n]{0,40}\|>|</?[\p{L}!][^<>\n]{0,60}>|\[/?INST\]|<<?/?SYS>?>")
@@ -53,8 +54,16 @@ _APOLOGIES = [regex.compile(rf"(?:{_EXCUSE}).{{0,80}}?\b(?:{a})\b") for a, _ in
 _EXCUSED = regex.compile(_EXCUSE)
 #: Words of declining, which need no word of writing beside what is quoted.
 _DECLINED = regex.compile(r"\b(?:одбивам|одбијам|odbijam|отказвам|откажа|отказываюсь|отказаться|отказать|decline|refuse|refuzoj|reddediyorum|reddetmek|ablehnen|lehne)\b")
+#: Whose rules a refusal appeals to; these need nothing beside them.
+_RULES = regex.compile(r"against (?:my|our) (?:guidelines|rules|polic\p{L}+|instructions)|(?:спротивно на|против) (?:моите|нашите) (?:правила|насоки|упатства)|(?:противно|против) (?:мојих?|наших) (?:правила|смерниц\p{L}+|упутст\p{L}+)|против (?:моите|нашите) (?:правила|насоки)|(?:противоречит|против) (?:моим|моих|нашим|наших) (?:правил\p{L}*|принцип\p{L}*|инструкци\p{L}+)|kundër (?:rregullave|udhëzimeve)|kurallarıma aykırı|ilkelerime aykırı|gegen meine (?:richtlinien|regeln|vorgaben)")
+_UNABLE_AT_ALL = regex.compile("|".join(a for a, _ in _UNABLE.values()))
 _QUOTED = regex.compile(r"„[^“”\"\n]*[“”\"]|«[^»\n]*»|“[^”\n]*”|\"[^\"\n]*\"")
 
+_CLOSERS = {"(": ")", "[": "]", "{": "}", "„": "“”\"", "«": "»", "»": "«", "“": "”"}
+_DELIMITER = regex.compile(r"[()\[\]{}„“”«»\"]")
+#: Marks that may open or close; they open only before a word that they stand apart from what comes before.
+_EITHER = regex.compile(r"(?<![^\s\p{P}])[“»\"](?=\w)")
+
 _END = regex.compile(r"[.!?…。！？][\s\p{Z}\p{Cf}\"'“”’»«›)\]*_`~|/]*$")
 
 
@@ -86,20 +95,59 @@ def is_empty(text: str) -> bool:
     return not words or bool(_PLACEHOLDER.match(words))
 
 
+def _prose(answer: str) -> list[str]:
+    """The lines of an answer that are whole sentences, in lower case, without markup and what they quote."""
+    text = _QUOTED.sub(" „“ ", _TAGS.sub("", _REASONING.sub("", repair_characters(answer))))
+    lines = [" ".join(regex.sub(r"[`\s\p{Z}]+", " ", x).lower().replace("’", "'").split()) for x in text.splitlines()]
+    lines = [x for x in lines if x and not _RULE.match(x)]
+    # a line of verse runs on into the next one; the last line may have been cut
+    whole = [bool(_END.search(x)) or i == len(lines) - 1 for i, x in enumerate(lines)]
+    return [x for i, x in enumerate(lines) if whole[i] and (i == 0 or whole[i - 1] or x[0] in "„-–—")]
+
+
 def is_refusal(answer: str | None) -> bool:
     """True if an answer declines in place of a poem, in any of the eight languages.
 
-    Only the start counts, without what it quotes: a refusal says so in its
-    first sentences, while a poem may speak of not being able to sleep.
+    Every sentence of the whole answer is looked at, without what it quotes,
+    but only in lines that hold whole sentences: a poem may speak of not being
+    able to write, and does so in verses that run on.  A sentence that says
+    that the model is unable or unwilling counts if it also excuses itself,
+    quotes what it declines, appeals to rules, or is all the answer holds.
     """
-    text = _REASONING.sub("", repair_characters(answer or ""))
-    text = regex.sub(r"[`\s\p{Z}]+", " ", _QUOTED.sub(" „“ ", text)).strip().lower().replace("’", "'")
-    start = " ".join(regex.split(r"(?<=[.!?])\s", text)[:2])[:240]
-    if _DECLINED.search(start) and ("„“" in start or _EXCUSED.search(start)):
-        return True
-    if any(p.search(start) for p in _REFUSALS):
-        return bool(_EXCUSED.search(start)) or "„“" in start or len(text) < 240
-    return bool(_EXCUSED.search(start[:40])) and any(p.search(start) for p in _APOLOGIES) and len(text) < 400
+    if not answer or not (_UNABLE_AT_ALL.search(low := repair_characters(answer).lower().replace("’", "'")) or _RULES.search(low)):
+        return False
+    prose = _prose(answer)
+    for line in prose:
+        before = ""
+        for sentence in regex.split(r"(?<=[.!?])\s", line):
+            near = f"{before} {sentence}"
+            excused = bool(_EXCUSED.search(near)) or "„“" in sentence
+            if _RULES.search(sentence) or (excused and _DECLINED.search(sentence)):
+                return True
+            if any(p.search(sentence) for p in _REFUSALS) and (excused or len(prose) == 1):
+                return True
+            if _EXCUSED.search(sentence[:40]) and any(p.search(sentence) for p in _APOLOGIES):
+                return True
+            before = sentence
+    return False
+
+
+def is_unclosed(text: str) -> bool:
+    """True if a bracket or quotation mark is opened and never closed.
+
+    A closing mark closes the last one of its kind that is open; without any,
+    it is passed over, unless it may open one and stands before a word.
+    """
+    open_: list[str] = []
+    opening = {m.start() for m in _EITHER.finditer(text)}
+    for m in _DELIMITER.finditer(text):
+        c = m.group()
+        at = next((i for i in range(len(open_) - 1, -1, -1) if c in _CLOSERS.get(open_[i], open_[i])), None)
+        if at is not None:
+            del open_[at:]
+        elif c in "([{„«" or m.start() in opening:
+            open_.append(c)
+    return bool(open_)
 
 
 def ends_abruptly(text: str) -> bool:
@@ -111,7 +159,7 @@ def defects(examples: DataFrame, prompts: DataFrame, model: Model, language: str
     """(example_id, defect, place): every defect of each example, place being its rank in DEFECTS.
 
     `examples` has example_id, source_id and answer, `prompts` has id and
-    text.  Texts are compared in words, without case, marks, punctuation,
+    text; of several texts of one id the last in binary order is taken.  Texts are compared in words, without case, marks, punctuation,
     spacing and look-alike characters.  Null ids of examples are kept as null;
     repeated examples give their defects once.  Examples without a prompt do
     not take part in the join, so a missing id cannot gather in one task; a
@@ -119,6 +167,7 @@ def defects(examples: DataFrame, prompts: DataFrame, model: Model, language: str
     """
     rows = examples.select("example_id", "source_id", "answer")
     texts = prompts.select(F.col("id").alias("source_id"), F.col("text").alias("prompt")).filter(F.col("source_id").isNotNull() & F.col("prompt").rlike(r"[^\s\p{Z}\p{Cf}]"))
+    texts = texts.groupBy("source_id").agg(F.max("prompt").alias("prompt"))  # a prompt that was delivered again counts once
     joined = rows.filter("source_id is not null").join(texts, "source_id", "left").select("example_id", "answer", "prompt")
     alone = rows.filter("source_id is null").select("example_id", "answer", F.lit(None).cast("string").alias("prompt"))
     shared = examples.sparkSession.sparkContext.broadcast(model)
@@ -145,9 +194,11 @@ def defects(examples: DataFrame, prompts: DataFrame, model: Model, language: str
                             found.append("refusal")
                         if len(words) and longest_common(words, src[soff[i] : soff[i + 1]]) >= copied * len(words):
                             found.append("copy")
-                        if spoken[i] and spoken[i][0][1] != language:
+                        # the runner-up of a poem in no known language is the one it is nearest to
+                        if spoken[i] and (spoken[i][0][1] or spoken[i][0][6]) != language:
                             found.append("wrong_language")
-                        if ends_abruptly(poem):
+                        # what is opened in the poem may be closed by what was taken off
+                        if ends_abruptly(poem) or (is_unclosed(poem) and is_unclosed(_REASONING.sub("", repair_characters(answers[a + i])))):
                             found.append("truncated")
                     out += [(ids[a + i], d, DEFECTS.index(d)) for d in found]
                 columns = list(zip(*out, strict=True)) or [[]] * 3

@@ -4,12 +4,15 @@ Words are brought into one script and one form, and described by their
 character n-grams and the word itself, weighted by TF-IDF: the inverse
 document frequency of the n-gram, times how unevenly it is spread over the
 languages.  Several centroids for each language are found by spherical
-k-means.  The cosine of a text with a centroid is, but for the text's norm, a
-sum over its words, so words are scored once for each distinct word and
-segments by addition; which centroid is nearest does not depend on the norm.
-A word whose best cosine is below a distance threshold is rejected: it belongs
-to no language.  A text is segmented by the path of languages with the highest
-total, where each change of language costs a fixed amount.
+k-means.  The vector of a document or passage is the sum of the unit vectors
+of its words, so its products with the centroids are sums over words, worked
+out once for each distinct word; divided by the norm of that vector they are
+its cosines.  A text whose nearest centroid is farther than texts of a known
+language of that length ever are is rejected: it is in no known language.
+
+Which words of a text are in which language is decided by the path of
+languages with the highest total of word cosines, where each change of
+language costs a fixed amount.
 """
 
 from __future__ import annotations
@@ -18,7 +21,8 @@ import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +38,14 @@ DIMENSIONS, LENGTHS, WORD_WEIGHT, CENTROIDS, ROUNDS = 1 << 16, (1, 2, 3, 4), 3,
 SPREAD_POWER = 3
 #: Most labelled texts that are collected for fitting: trusted ones, and documents whose label the first fit confirms.
 TRUSTED_AT_MOST, DOCUMENTS_AT_MOST, OF_ONE_LANGUAGE = 2_000, 4_000, 150
-#: Words rejected below this cosine; the cost of a change of language; words in a row that make a passage;
-#: and the confidence below which a label that names the runner-up is not called wrong, in texts too short for a passage.
-REJECT, CHANGE, PASSAGE, CLEAR = 0.005, 0.3, 10, 0.53
-#: Distinct words a worker keeps scores of; beyond it the cache starts anew.
-CACHE_WORDS = 200_000
+#: The cost of a change of language; words in a row that make a passage; and the confidence below which a label
+#: that names the runner-up is not called wrong, in texts too short for a passage.
+CHANGE, PASSAGE, CLEAR = 0.3, 10, 0.51
+#: Rejection: lengths in words for which a limit is fitted, parts into which the fitted texts are cut for that, the
+#: share of texts in a known language that may lie beyond the limit, and the margin below it.
+LENGTHS_FITTED, FOLDS, BEYOND, MARGIN = (1, 2, 3, 5, 8, 12, 20, 40, 80, 160), 4, 0.002, 0.75
+#: Distinct words a worker keeps products of; beyond it the cache starts anew.
+CACHE_WORDS = 100_000
 
 #: The Latin spelling of Cyrillic letters that Macedonian and Serbian have; letters of the
 #: other languages stay as they are, for those are not written in Latin script.
@@ -77,8 +84,10 @@ def canonical(word: str) -> str:
     return "".join(LATIN.get(c, c) for c in word if not unicodedata.combining(c))
 
 
+@lru_cache(50_000)
 def word_grams(word: str) -> np.ndarray:
-    """Hashed n-grams of a word and the word itself."""
+    """Hashed n-grams of a word's canonical form, and the whole of it."""
+    word = canonical(word)
     padded = f"^{word}$"
     grams = [padded] * WORD_WEIGHT + [padded[i : i + n] for n in LENGTHS for i in range(len(padded) - n + 1) if padded[i : i + n] not in ("^", "$")]
     return np.array([zlib.crc32(g.encode()) % DIMENSIONS for g in grams], np.int64)
@@ -110,42 +119,97 @@ def _word_class() -> np.ndarray:
     return _CLASS[0]
 
 
+_SUMS = np.zeros(DIMENSIONS)
+#: Random directions by which the norm of a text is estimated; the exact one is worked out only near a limit.
+SKETCH, NEAR = 64, 1.5
+
+
+@lru_cache(1)
+def _signs() -> np.ndarray:
+    return (np.random.default_rng(1).integers(0, 2, (DIMENSIONS, SKETCH), np.int8) * np.int8(2) - np.int8(1)).astype(np.float32)
+
+
+@dataclass
+class Words:
+    """The distinct words of some texts: products with the centroids, a sketch of the vector, n-grams and their weights; and which of them each word is."""
+
+    products: np.ndarray
+    sketches: np.ndarray
+    grams: list[np.ndarray]
+    weights: list[np.ndarray]
+    which: np.ndarray
+
+
 @dataclass
 class Model:
-    """Centroids of the languages and the weights of the n-grams; of fixed size whatever it was fitted on."""
+    """Centroids of the languages, the weights of the n-grams, and the least cosine by length; of fixed size whatever it was fitted on."""
 
     languages: list[str]
     weights: np.ndarray
     centroids: np.ndarray
     owner: np.ndarray
-    scores: dict[bytes, np.ndarray] = field(default_factory=dict, repr=False)
+    limits: np.ndarray
+    cache: dict[bytes, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"scores": {}}
+        return self.__dict__ | {"cache": {}}
 
-    def word_score(self, word: str) -> np.ndarray:
-        """Cosine of a word with the nearest centroid of each language; zeros if it is rejected."""
+    def word(self, word: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Cosines of a word with all centroids, the sketch of its unit vector, its n-grams, and their weights in it; nothing for words in other scripts."""
         if not any(script(c) in ("LATIN", "CYRILLIC") for c in word):
-            return np.zeros(len(self.languages))
-        g = word_grams(canonical(word))
+            return np.zeros(len(self.owner), np.float32), np.zeros(SKETCH, np.float32), np.zeros(0, np.uint16), np.zeros(0, np.float32)
+        g = word_grams(word)
         w = self.weights[g]
-        near = (self.centroids[:, g] @ w) / max(1e-9, float(np.sqrt((w * w).sum())))
-        out = np.array([near[self.owner == i].max() for i in range(len(self.languages))])
-        return out if out.max() >= REJECT else np.zeros(len(self.languages))
-
-    def word_scores(self, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Scores of all words, worked out once for each distinct one."""
-        if len(self.scores) > CACHE_WORDS:
-            self.scores.clear()
+        w = w / max(1e-9, float(np.sqrt((w * w).sum())))
+        w = w.astype(np.float32)
+        return (self.centroids[:, g] @ w).astype(np.float32), w @ _signs()[g] / np.float32(SKETCH**0.5), g.astype(np.uint16), w
+
+    def words(self, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Words:
+        """All words, worked out once for each distinct one."""
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
         first, which = distinct_spans(cp, starts, ends)
         rows = []
         for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True):
             key = cp[s:e].tobytes()
-            row = self.scores.get(key)
+            row = self.cache.get(key)
             if row is None:
-                row = self.scores[key] = self.word_score(key.decode("utf-32-le", "replace"))
+                row = self.cache[key] = self.word(key.decode("utf-32-le", "replace"))
             rows.append(row)
-        return np.array(rows).reshape(-1, len(self.languages))[which]
+        products, sketches = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        return Words(products.reshape(-1, len(self.owner)), sketches.reshape(-1, SKETCH), [r[2] for r in rows], [r[3] for r in rows], which)
+
+    def by_language(self, products: np.ndarray) -> np.ndarray:
+        """Products with the nearest centroid of each language."""
+        return np.maximum.reduceat(products, np.searchsorted(self.owner, np.arange(len(self.languages))), axis=1)
+
+    def cosines(self, words: Words, picked: np.ndarray) -> np.ndarray:
+        """Cosine of the text that some words make with the nearest centroid of each language."""
+        own, n = np.unique(words.which[picked], return_counts=True)
+        own = own.tolist()
+        g = np.concatenate([words.grams[i] for i in own])
+        w = np.concatenate([words.weights[i] for i in own]) * np.repeat(n, [len(words.grams[i]) for i in own])
+        np.add.at(_SUMS, g, w)  # only the places of these n-grams are touched, and cleared again
+        norm = float(_SUMS[g] @ w)
+        _SUMS[g] = 0.0
+        return self.by_language((n @ words.products[own])[None, :])[0] / max(1e-9, norm**0.5)
+
+    def nearest(self, words: Words, picked: np.ndarray | slice) -> tuple[np.ndarray, bool]:
+        """For the text that some words make, its products with the nearest centroid of each language, and whether it is too far from all of them."""
+        own = words.which[picked]
+        products = self.by_language(words.products[own].sum(0, keepdims=True))[0]
+        sketch = words.sketches[own].sum(0)
+        best, limit = float(products.max()), self.limit(len(own))
+        least = limit * float(sketch @ sketch) ** 0.5
+        if best > NEAR * least:
+            return products, False
+        if NEAR * best < least:
+            return products, True
+        return products, float(self.cosines(words, picked).max()) < limit
+
+    def limit(self, n: int) -> float:
+        """The cosine below which a text of n words is in no known language."""
+        return float(np.interp(n, LENGTHS_FITTED, self.limits))
 
 
 def fit(texts: list[tuple[str, str]]) -> Model:
@@ -159,7 +223,7 @@ def fit(texts: list[tuple[str, str]]) -> Model:
         words = Counter(cp[a:b].tobytes().decode("utf-32-le", "replace") for a, b in zip(s, e, strict=True))
         for w in words:
             if w not in grams:
-                grams[w] = word_grams(canonical(w))
+                grams[w] = word_grams(w)
         if words:
             found.append((languages.index(lang), *np.unique(np.concatenate([np.repeat(grams[w], n) for w, n in words.items()]), return_counts=True)))
     df = np.zeros((len(languages), DIMENSIONS), np.float32)
@@ -180,7 +244,33 @@ def fit(texts: list[tuple[str, str]]) -> Model:
         own = _spherical_means(x, CENTROIDS)
         centroids.append(own)
         whose += [i] * len(own)
-    return Model(languages, weights, np.concatenate(centroids), np.array(whose))
+    return Model(languages, weights, np.concatenate(centroids), np.array(whose), np.zeros(len(LENGTHS_FITTED)))
+
+
+def fit_limits(texts: list[tuple[str, str]]) -> np.ndarray:
+    """For each fitted length, a cosine that hardly any text of that length in a known language falls below.
+
+    Every part of the texts is measured with a model of the other parts, in
+    windows of each length; a language must be in both.  Limits never fall
+    with the length.
+    """
+    found: list[list[float]] = [[] for _ in LENGTHS_FITTED]
+    for fold in range(FOLDS):
+        kept = [t for i, t in enumerate(texts) if i % FOLDS != fold]
+        if not kept:
+            continue
+        model = fit(kept)
+        for lang, text in texts[fold::FOLDS]:
+            if lang not in model.languages:
+                continue
+            cp, off = codepoints([text])
+            s, e, _ = raw_words(cp, off)
+            words = model.words(cp, s, e)
+            for j, n in enumerate(LENGTHS_FITTED):
+                for at in range(0, len(s) - n + 1, max(n, len(s) // 3)):
+                    found[j].append(float(model.cosines(words, np.arange(at, at + n)).max()))
+    limits = np.array([np.quantile(x, BEYOND) * MARGIN if len(x) > 20 else 0.0 for x in found])
+    return np.maximum.accumulate(np.maximum(limits, 0.0))
 
 
 def _spherical_means(x: np.ndarray, k: int) -> np.ndarray:
@@ -220,8 +310,9 @@ def fit_on_tables(trusted: DataFrame, documents: DataFrame | None = None) -> Mod
     rows = bounded_sample(trusted.filter(F.col("lang").isin(list(NAMES)) & F.col("text").isNotNull()), "text", TRUSTED_AT_MOST)
     base = [(r.lang, r.text) for r in rows]
     model = fit(base)
+    limits = fit_limits(base)  # of a model of fewer texts, so rather too low than too high for the one returned
     if documents is None:
-        return model
+        return replace(model, limits=limits)
     labelled = documents.select("doc_id", label_code(F.col("lang")).alias("code"), "text").filter(F.col("code").isin(list(NAMES)) & F.col("text").isNotNull() & F.length("text").between(100, 20_000))
     found = [(r.code, r.text) for r in bounded_sample(labelled, "doc_id", DOCUMENTS_AT_MOST)]
     used: Counter[str] = Counter()
@@ -232,12 +323,13 @@ def fit_on_tables(trusted: DataFrame, documents: DataFrame | None = None) -> Mod
             s, e, _ = raw_words(cp, off)
             if len(s) < 20:
                 continue
-            total = model.word_scores(cp, s, e).sum(0)
+            words = model.words(cp, s, e)
+            total = model.cosines(words, np.arange(len(s)))
             order = np.argsort(-total)
             if model.languages[order[0]] == lang and total[order[0]] > 1.25 * total[order[1]]:
                 used[lang] += 1
                 more.append((lang, text))
-    return fit(base + more)
+    return replace(fit(base + more), limits=limits)
 
 
 def segments(scores: np.ndarray, off: np.ndarray, change: float = CHANGE) -> np.ndarray:
@@ -275,19 +367,22 @@ def segments(scores: np.ndarray, off: np.ndarray, change: float = CHANGE) -> np.
     return out
 
 
-def languages_of(texts: list[str | None], model: Model, passage: int = PASSAGE) -> list[list[tuple[str, str, float, int, int, int, str, int]]]:
-    """For each text (part, language, confidence, words, first character, end character, runner-up, known words of any language): the document, then its passages.
+def languages_of(texts: list[str | None], model: Model, passage: int = PASSAGE) -> list[list[tuple[str, str | None, float | None, int, int, int, str | None, int]]]:
+    """For each text (part, language, confidence, words, first character, end character, runner-up, words in a known script): the document, then its passages.
 
     Passages come only where at least two languages fill `passage` or more
-    words in a row.  Confidence is the best language's share of the sum of the
-    two best scores, between 0.5 and 1.
+    words in a row.  A document, or a passage, whose cosine with the nearest
+    centroid is below the limit for its length is in no known language: such a
+    document has no language, the nearest one as runner-up, and such a passage does not count.  Confidence
+    is the best language's share of the sum of the two best cosines, between 0.5 and 1.
     """
     cp, off = codepoints(texts)
     s, e, woff = raw_words(cp, off)
-    scores = model.word_scores(cp, s, e) if len(s) else np.zeros((0, len(model.languages)))
+    words = model.words(cp, s, e)
+    own_scores = model.by_language(words.products) if len(s) else np.zeros((0, len(model.languages)))
+    scores = own_scores[words.which]
     path = segments(scores, woff)
     known = scores.any(axis=1)
-    total = np.vstack([np.zeros((1, scores.shape[1])), np.cumsum(scores, axis=0)])
     out = []
     for t in range(len(texts)):
         a, b = int(woff[t]), int(woff[t + 1])
@@ -295,31 +390,39 @@ def languages_of(texts: list[str | None], model: Model, passage: int = PASSAGE)
             out.append([])
             continue
         own = path[a:b]
-        count = np.bincount(own[known[a:b]], minlength=len(model.languages))
-        main = int(np.lexsort((total[b] - total[a], count))[-1])
-        score = total[b] - total[a]
-        rows = [("document", model.languages[main], _confidence(score, main), int(count[main]), 0, int(off[t + 1] - off[t]), model.languages[_second(score, main)], int(known[a:b].sum()))]
         cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), b - a]
-        longest: dict[int, int] = defaultdict(int)
-        for x, y in zip(cuts, cuts[1:]):
-            longest[int(own[x])] = max(longest[int(own[x])], y - x)
-        if sum(v >= passage for v in longest.values()) > 1:
-            for x, y in zip(cuts, cuts[1:]):
-                if y - x >= passage:
+        runs = [(x, y) for x, y in zip(cuts, cuts[1:]) if y - x >= passage]
+        passages = []
+        counted = known[a:b].copy()
+        if len({int(own[x]) for x, _ in runs}) > 1:
+            for x, y in runs:
+                near, far = model.nearest(words, slice(a + x, a + y))
+                if not far:
                     lang = int(own[x])
-                    score = total[a + y] - total[a + x]
-                    rows.append(("passage", model.languages[lang], _confidence(score, lang), y - x, int(s[a + x] - off[t]), int(e[a + y - 1] - off[t]), model.languages[_second(score, lang)], int(known[a + x : a + y].sum())))
-        out.append(rows)
+                    passages.append(("passage", model.languages[lang], _confidence(near, lang), y - x, int(s[a + x] - off[t]), int(e[a + y - 1] - off[t]), model.languages[_second(near, lang)], int(known[a + x : a + y].sum())))
+                else:
+                    counted[x:y] = False
+            if len({p[1] for p in passages}) < 2:
+                passages = []
+        size, n_known = int(off[t + 1] - off[t]), int(known[a:b].sum())
+        near, far = model.nearest(words, a + np.flatnonzero(counted))
+        if not counted.any() or (far and not passages):
+            out.append([("document", None, None, 0, 0, size, model.languages[int(near.argmax())], n_known)])
+            continue
+        count = np.bincount(own[counted], minlength=len(model.languages))
+        main = int(np.lexsort((near, count))[-1])
+        out.append([("document", model.languages[main], _confidence(near, main), int(count[main]), 0, size, model.languages[_second(near, main)], n_known), *passages])
     return out
 
 
-def _confidence(score: np.ndarray, lang: int) -> float:
-    other = np.delete(score, lang).max() if len(score) > 1 else 0.0
-    return float(np.clip(score[lang] / max(1e-9, score[lang] + max(0.0, other)), 0.0, 1.0))
+def _confidence(near: np.ndarray, lang: int) -> float:
+    other = max((x for i, x in enumerate(near.tolist()) if i != lang), default=0.0)
+    own = float(near[lang])
+    return min(1.0, max(0.0, own / max(1e-9, own + max(0.0, other))))
 
 
-def _second(score: np.ndarray, lang: int) -> int:
-    order = np.argsort(-score, kind="stable")
+def _second(near: np.ndarray, lang: int) -> int:
+    order = np.argsort(-near, kind="stable")
     return int(order[1] if len(order) > 1 and order[0] == lang else order[0])
 
 
@@ -332,8 +435,8 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     One row of part "document" for each row of df with its main language, the
     one with most words, and, if it is mixed, one of part "passage" for each
     run of PASSAGE words or more in one language, with its place in the text.
-    `second` is the runner-up, n_known the number of words that belong to any language.
-    Null, empty and wordless texts, and texts of which every word is rejected,
+    `second` is the runner-up, n_known the number of words in a known script.
+    Null, empty and wordless texts, and texts that are in no known language,
     give a document row without language, confidence null, 0 words.  Repeated
     rows are repeated; columns other than the two are not read.  One scan and
     one Arrow map; the model is broadcast and has a fixed size.

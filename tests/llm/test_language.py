@@ -27,6 +27,50 @@ def test_held_out_accuracy(parts, model):
     assert np.mean([rows[0][1] == lang for rows, (lang, _) in zip(found, parts[1])]) >= 0.95
 
 
+#: One sentence each in languages that the model does not know.
+FOREIGN = {
+    "fr": "Les nuages passent lentement au-dessus de la ville endormie et personne ne regarde le ciel quand la pluie commence à tomber sur les toits rouges.",
+    "pl": "Wieczorem siedzieliśmy przy oknie i patrzyliśmy na padający śnieg, który powoli przykrywał ulice naszego starego miasta oraz wszystkie drzewa w parku. Nikt nie mówił ani słowa, bo każdy myślał o czymś innym, a zegar na ścianie odmierzał powoli długie godziny.",
+    "uk": "Увечері ми сиділи біля вікна і дивилися, як падає сніг, що повільно вкривав вулиці нашого старого міста та всі дерева в парку.",
+    "es": "Por la noche nos sentamos junto a la ventana y miramos la nieve que caía despacio sobre las calles de nuestra vieja ciudad y los árboles del parque.",
+    "it": "La sera sedevamo vicino alla finestra e guardavamo la neve che cadeva lentamente sulle strade della nostra vecchia città e sugli alberi del parco.",
+    "nl": "In de avond zaten wij bij het raam en keken naar de sneeuw die langzaam op de straten van onze oude stad en op alle bomen in het park viel.",
+}
+
+
+def test_texts_in_unknown_languages_are_rejected_and_others_are_not(spark, parts):
+    trusted = spark.read.parquet(f"{DATA}/lang_samples.parquet").select("lang", "text").unionByName(spark.read.parquet(f"{DATA}/eval_items.parquet").select("lang", "text"))
+    model = language.fit_on_tables(trusted, spark.read.parquet(f"{DATA}/documents.parquet"))
+    assert {k: rows[0][1] for k, rows in zip(FOREIGN, language.languages_of(list(FOREIGN.values()), model))} == dict.fromkeys(FOREIGN)
+    docs = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()]
+    found = language.languages_of(docs, model)
+    assert sum(bool(rows) and rows[0][1] is None for rows in found) <= len(docs) * 0.01
+    # a foreign passage does not make a text mixed, nor does it hide its language
+    own = " ".join(t for lang, t in parts[0] if lang == "de")[:400]
+    rows = language.languages_of([own + "\n" + FOREIGN["pl"]], model)[0]
+    assert [r[1] for r in rows] == ["de"]
+    df = spark.createDataFrame([(1, FOREIGN["fr"], None), (2, FOREIGN["fr"], "de")], "doc_id long, text string, lang string")
+    assert language.label_issues(df, model).count() == 0
+
+
+def test_estimated_cosines_agree_with_exact_ones(parts, model):
+    from stihora.llm.arrays import codepoints
+
+    for _, text in parts[1][:20]:
+        cp, off = codepoints([text])
+        s, e, _ = language.raw_words(cp, off)
+        words = model.words(cp, s, e)
+        every = np.arange(len(s))
+        vector = np.zeros(language.DIMENSIONS)
+        for i in words.which:
+            np.add.at(vector, words.grams[i], words.weights[i])
+        want = (model.centroids @ vector) / np.linalg.norm(vector)
+        got = model.cosines(words, every)
+        assert np.allclose(got, [want[model.owner == i].max() for i in range(len(model.languages))], atol=1e-4)
+        near, _ = model.nearest(words, every)
+        assert np.allclose(near / np.linalg.norm(vector), got, atol=1e-4)
+
+
 def test_steps_in_common_equal_a_plain_path():
     rng = np.random.default_rng(2)
     lens = rng.integers(0, 15, 12)
