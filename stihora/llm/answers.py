@@ -67,9 +67,17 @@ _EITHER = regex.compile(r"(?<![^\s\p{P}])[“»\"](?=\w)")
 _END = regex.compile(r"[.!?…。！？][\s\p{Z}\p{Cf}\"'“”’»«›)\]*_`~|/]*$")
 
 
+def body(answer: str | None) -> str:
+    """An answer in one form, without reasoning."""
+    return _REASONING.sub("", repair_characters(answer or ""))
+
+
 def poem_text(answer: str | None) -> str:
     """What is left of an answer without reasoning, markup, headings, introduction and closing remarks."""
-    text = _REASONING.sub("", repair_characters(answer or ""))
+    return _poem(body(answer))
+
+
+def _poem(text: str) -> str:
     text = _ROLE.sub("", _TAGS.sub("", text))
     lines = text.splitlines()
     lines = [x for x in lines if not _FENCE.match(x)]
@@ -95,14 +103,14 @@ def is_empty(text: str) -> bool:
     return not words or bool(_PLACEHOLDER.match(words))
 
 
-def _prose(answer: str) -> list[str]:
-    """The lines of an answer that are whole sentences, in lower case, without markup and what they quote."""
-    text = _QUOTED.sub(" „“ ", _TAGS.sub("", _REASONING.sub("", repair_characters(answer))))
-    lines = [" ".join(regex.sub(r"[`\s\p{Z}]+", " ", x).lower().replace("’", "'").split()) for x in text.splitlines()]
-    lines = [x for x in lines if x and not _RULE.match(x)]
+def _prose(text: str) -> list[str]:
+    """The lines that are whole sentences, in lower case, without markup and what they quote."""
+    lines = [x for x in text.splitlines() if not _RULE.match(x)]
     # a line of verse runs on into the next one; the last line may have been cut
     whole = [bool(_END.search(x)) or i == len(lines) - 1 for i, x in enumerate(lines)]
-    return [x for i, x in enumerate(lines) if whole[i] and (i == 0 or whole[i - 1] or x[0] in "„-–—")]
+    found = [x for i, x in enumerate(lines) if whole[i] and (i == 0 or whole[i - 1] or x.lstrip()[0] in "„-–—")]
+    found = [_QUOTED.sub(" „“ ", _TAGS.sub("", x)).lower().replace("’", "'").replace("`", " ") for x in found]
+    return [" ".join(x.split()) for x in found]
 
 
 def is_refusal(answer: str | None) -> bool:
@@ -114,10 +122,14 @@ def is_refusal(answer: str | None) -> bool:
     that the model is unable or unwilling counts if it also excuses itself,
     quotes what it declines, appeals to rules, or is all the answer holds.
     """
-    if not answer or not (_UNABLE_AT_ALL.search(low := repair_characters(answer).lower().replace("’", "'")) or _RULES.search(low)):
-        return False
-    prose = _prose(answer)
+    return _refuses(body(answer))
+
+
+def _refuses(text: str) -> bool:
+    prose = _prose(text)
     for line in prose:
+        if not (_UNABLE_AT_ALL.search(line) or _RULES.search(line)):
+            continue
         before = ""
         for sentence in regex.split(r"(?<=[.!?])\s", line):
             near = f"{before} {sentence}"
@@ -133,7 +145,7 @@ def is_refusal(answer: str | None) -> bool:
 
 
 def is_unclosed(text: str) -> bool:
-    """True if a bracket or quotation mark is opened and never closed.
+    """True if a bracket or quotation mark is opened and never closed, but for one around the whole text.
 
     A closing mark closes the last one of its kind that is open; without any,
     it is passed over, unless it may open one and stands before a word.
@@ -145,7 +157,7 @@ def is_unclosed(text: str) -> bool:
         at = next((i for i in range(len(open_) - 1, -1, -1) if c in _CLOSERS.get(open_[i], open_[i])), None)
         if at is not None:
             del open_[at:]
-        elif c in "([{„«" or m.start() in opening:
+        elif m.start() and (c in "([{„«" or m.start() in opening):
             open_.append(c)
     return bool(open_)
 
@@ -178,7 +190,8 @@ def defects(examples: DataFrame, prompts: DataFrame, model: Model, language: str
             ids, answers, sources = (batch.column(c).to_pylist() for c in ("example_id", "answer", "prompt"))
             for a, b in chunks([(x or "") + (y or "") for x, y in zip(answers, sources, strict=True)]):
                 out = []
-                poems = [poem_text(x) for x in answers[a:b]]
+                bodies = [body(x) for x in answers[a:b]]
+                poems = [_poem(x) for x in bodies]
                 own, ooff = word_hashes(poems)
                 src, soff = word_hashes(sources[a:b])
                 spoken = languages_of(poems, model)
@@ -190,7 +203,7 @@ def defects(examples: DataFrame, prompts: DataFrame, model: Model, language: str
                         found.append("empty")
                     else:
                         words = own[ooff[i] : ooff[i + 1]]
-                        if is_refusal(answers[a + i]):
+                        if _refuses(bodies[i]):
                             found.append("refusal")
                         if len(words) and longest_common(words, src[soff[i] : soff[i + 1]]) >= copied * len(words):
                             found.append("copy")
@@ -198,7 +211,7 @@ def defects(examples: DataFrame, prompts: DataFrame, model: Model, language: str
                         if spoken[i] and (spoken[i][0][1] or spoken[i][0][6]) != language:
                             found.append("wrong_language")
                         # what is opened in the poem may be closed by what was taken off
-                        if ends_abruptly(poem) or (is_unclosed(poem) and is_unclosed(_REASONING.sub("", repair_characters(answers[a + i])))):
+                        if ends_abruptly(poem) or (is_unclosed(poem) and is_unclosed(bodies[i])):
                             found.append("truncated")
                     out += [(ids[a + i], d, DEFECTS.index(d)) for d in found]
                 columns = list(zip(*out, strict=True)) or [[]] * 3
