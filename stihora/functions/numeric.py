@@ -68,3 +68,28 @@ def jaccard(a: Column, b: Column) -> Column:
 def percentile(x: Column, q: float) -> Column:
     """Exact percentile with linear interpolation, as an aggregate."""
     return F.percentile(x, F.lit(q))
+
+
+#: Offset and prime of the 32-bit hash, and increment of the small generator.
+HASH_START, HASH_PRIME, STEP = 2166136261, 16777619, 1831565813
+_LOW = 4294967295
+
+
+def small_hash_sql(text: str, duck: bool = False) -> str:
+    """SQL of the 32-bit hash of a text's code points, each taken in whole."""
+    if duck:
+        return f"list_reduce(list_prepend({HASH_START}::BIGINT, [unicode(c)::BIGINT for c in regexp_extract_all({text}, '(?s).')]), lambda h, c: (xor(h, c) * {HASH_PRIME}) & {_LOW})"
+    return f"aggregate(regexp_extract_all({text}, '(?s).', 0), {HASH_START}L, (h, c) -> ((h ^ ascii(c)) * {HASH_PRIME}L) & {_LOW}L)"
+
+
+def first_draw_sql(seed: str, duck: bool = False) -> str:
+    """SQL of the first number in [0, 1) that the small generator draws from a seed of 32 bits."""
+    xor = (lambda a, b: f"xor({a}, {b})") if duck else (lambda a, b: f"(({a}) ^ ({b}))")
+    right = (lambda a, n: f"(({a}) >> {n})") if duck else (lambda a, n: f"shiftright({a}, {n})")
+    left = (lambda a, n: f"(({a}) << {n})") if duck else (lambda a, n: f"shiftleft({a}, {n})")
+    # products of two numbers of 32 bits, of which 32 bits are kept, in steps that never exceed 63
+    times = lambda a, b: f"(((({a}) & 65535) * ({b}) + {left(f'({right(a, 16)} * ({b})) & 65535', 16)}) & {_LOW})"
+    a = f"((({seed}) + {STEP}) & {_LOW})"
+    t = times(xor(a, right(a, 15)), f"(({a}) | 1)")
+    u = xor(t, f"(({t}) + {times(xor(t, right(t, 7)), f'(({t}) | 61)')}) & {_LOW}")
+    return f"({xor(u, right(u, 14))} / {'4294967296::DOUBLE' if duck else '4294967296D'})"

@@ -103,11 +103,13 @@ def bootstrap_interval(df: DataFrame, col: str, draws: int = 2000, seed: int = 4
 
     Every row gets a Poisson weight in each draw, which is resampling without
     gathering the rows: the weighted sums of a draw are ordinary aggregates.
+    Equal rows are numbered, so that each has its own weights.
     """
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col("_row"), F.col("draw")), F.lit(1_000_003)) + 0.5) / 1_000_003
     steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
     weight = sum((F.when(u > s, 1).otherwise(0) for s in steps), F.lit(0))
     rows = df.filter(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("x"), F.xxhash64(*df.columns).alias("_row"))
+    rows = rows.groupBy("x", "_row").agg(F.count("*").alias("_n")).select("x", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n")).alias("_k"), "_row").select("x", F.xxhash64("_row", "_k").alias("_row"))
     drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
     means = drawn.groupBy("draw").agg((F.sum(F.col("x") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1))).alias("m"))
     ordered = F.sort_array(F.collect_list("m"))

@@ -106,11 +106,9 @@ def cached_completions(df: DataFrame, prompt: str, cache_path: str, client: Clie
     spark: SparkSession = df.sparkSession
     keyed = df.withColumn("cache_key", T.cache_key(F.lit(model), F.lit(version), F.col(prompt)))
     schema = "cache_key string, text string"
-    try:
-        known = spark.read.schema(schema).parquet(cache_path)
-        known.limit(1).count()
-    except Exception:  # noqa: BLE001 - no cache yet
-        known = spark.createDataFrame([], schema)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(cache_path)
+    begun = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    known = spark.read.schema(schema).parquet(cache_path) if begun else spark.createDataFrame([], schema)
     missing = keyed.select("cache_key", prompt).dropDuplicates(["cache_key"]).join(known.select("cache_key"), "cache_key", "left_anti")
     complete(missing, "cache_key", prompt, client).filter("error is null").select("cache_key", "text").write.mode("append").parquet(cache_path)
     return keyed.join(spark.read.schema(schema).parquet(cache_path), "cache_key", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,32 +95,81 @@ def first_of_aliases(runs: DataFrame, files: DataFrame, label: str, stem: str, s
 def jaccard_pairs(df: DataFrame, group: str, item: str, least: float) -> DataFrame:
     """(a, b, n_common, jaccard) of groups a < b with so similar sets of items.
 
-    An equi-join on the items counts what pairs have in common; pairs without
-    a common item are never made.
+    Items are ranked, rare ones first.  Two groups so similar have one of the
+    first n - ceil(least * n) + 1 items of both in common, so only groups that
+    share such an item are candidates, and a common item is rarely among them;
+    sizes that are too different are dropped too.  What a pair has in common is
+    counted for candidates only.
     """
-    sets = df.select(group, item).distinct()
+    from stihora.storage import written
+
+    sets = written(df.select(group, item).dropna().distinct())
     size = sets.groupBy(group).agg(F.count("*").alias("n"))
-    both = sets.toDF("a", item).join(sets.toDF("b", item), item).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n_common"))
+    found_in = sets.groupBy(item).agg(F.count("*").alias("_df"))
+    order = F.row_number().over(Window.partitionBy(group).orderBy("_df", item))
+    first = sets.join(found_in, item).withColumn("_place", order).join(size, group).filter(F.col("_place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1)
+    first = written(first.select(group, item, "n"))
+    alike = first.toDF("a", item, "n_a").join(first.toDF("b", item, "n_b"), item).filter(F.col("a") < F.col("b")).filter(F.least("n_a", "n_b") >= F.lit(least) * F.greatest("n_a", "n_b") - 1e-9)
+    candidates = written(alike.select("a", "b").distinct())
+    both = candidates.join(sets.toDF("a", item), "a").join(sets.toDF("b", item), ["b", item]).groupBy("a", "b").agg(F.count("*").alias("n_common"))
     out = both.join(size.toDF("a", "n_a"), "a").join(size.toDF("b", "n_b"), "b")
     return out.withColumn("jaccard", F.col("n_common") / (F.col("n_a") + F.col("n_b") - F.col("n_common"))).filter(F.col("jaccard") >= least).select("a", "b", "n_common", "jaccard")
 
 
-def cooccurrence(df: DataFrame, doc: str, term: str) -> DataFrame:
+#: Terms of a document that are paired in one piece, and pairs that are counted at a time in a task.
+TILE, PAIRS_AT_A_TIME = 1024, 4_000_000
+
+
+def cooccurrence(df: DataFrame, doc: str, term: str, tile: int = TILE) -> DataFrame:
     """(a, b, n): in how many documents two terms a < b stand together.
 
-    Terms are numbered first, so pairs are pairs of numbers.  A document's
-    different terms are paired inside its row: documents are grouped once, and
-    pairs are counted before they are shuffled.
+    Terms are numbered without gaps, so a pair is one integer.  The pairs of a
+    document are made and counted in arrays, never as rows, and only counts are
+    shuffled.  A document with more than `tile` different terms is cut into
+    tiles, whose pairs are spread over tasks, so no document is too long for one.
     """
+    from stihora.operators.relations import dense_ids
     from stihora.storage import written
 
-    sets = written(df.select(doc, term).distinct())  # read twice
-    numbered = written(sets.select(F.col(term).alias("_name")).distinct().withColumn("_id", F.monotonically_increasing_id()))
-    ids = sets.join(numbered, F.col(term) == F.col("_name")).groupBy(doc).agg(F.sort_array(F.collect_list("_id")).alias("_t"))
-    left = ids.select(F.posexplode("_t").alias("_i", "_a"), "_t")
-    pairs = left.select("_a", F.explode(F.slice("_t", F.col("_i") + 2, F.size("_t"))).alias("_b")).groupBy("_a", "_b").agg(F.count("*").alias("n"))
-    named = pairs.join(numbered.toDF("_x", "_a"), "_a").join(numbered.toDF("_y", "_b"), "_b")
-    return named.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"), "n")
+    sets = written(df.select(doc, term).dropna().distinct())  # read twice
+    numbered = written(dense_ids(sets.select(F.col(term).alias("_name")).distinct(), ["_name"], "_id").select("_name", F.col("_id").cast("int").alias("_id")))
+    ids = written(sets.join(numbered, F.col(term) == F.col("_name")).groupBy(doc).agg(F.sort_array(F.collect_list("_id")).alias("x")).select("x"))
+    none = F.lit(None).cast("array<int>")
+    short = ids.filter(F.size("x") <= tile).select("x", none.alias("y"))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("x") - 1) / tile).cast("int")), lambda i: F.slice("x", i * tile + 1, tile))
+    long = ids.filter(F.size("x") > tile).select(parts.alias("p")).select(F.posexplode("p").alias("i", "x"), "p")
+    long = long.select("x", F.explode(F.concat(F.array(none), F.slice("p", F.col("i") + 2, F.size("p")))).alias("y")).repartition("x", "y")
+    counted = short.union(long).mapInArrow(_counted_pairs, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    names = numbered.select(F.col("_id"), F.col("_name"))
+    named = counted.select(F.shiftright("pair", 32).cast("int").alias("_a"), F.col("pair").bitwiseAND(0xFFFFFFFF).cast("int").alias("_b"), "n")
+    return named.join(names.toDF("_a", "a"), "_a").join(names.toDF("_b", "b"), "_b").select("a", "b", "n")
+
+
+def _counted_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs within x, or of x and y where y is given, as one integer each, with their counts."""
+    import numpy as np
+
+    def counted(made: list) -> pa.RecordBatch:
+        pair, n = np.unique(np.concatenate(made), return_counts=True) if made else (np.zeros(0, np.int64),) * 2
+        return pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(n, pa.int64())], names=["pair", "n"])
+
+    made: list = []
+    size = 0
+    for batch in batches:
+        xs, ys = batch.column(0), batch.column(1)
+        for i in range(batch.num_rows):
+            x = xs[i].values.to_numpy().astype(np.int64)
+            if ys[i].is_valid:
+                pairs = ((x[:, None] << 32) | ys[i].values.to_numpy().astype(np.int64)[None, :]).ravel()
+            else:
+                a, b = np.triu_indices(len(x), 1)
+                pairs = (x[a] << 32) | x[b]
+            made.append(pairs)
+            size += len(pairs)
+            if size > PAIRS_AT_A_TIME:
+                yield counted(made)
+                made, size = [], 0
+    yield counted(made)
 
 
 def symmetric(pairs: DataFrame) -> DataFrame:

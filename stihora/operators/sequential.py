@@ -95,49 +95,26 @@ def word_spans(df: DataFrame, key: list[str], line: str, words: str) -> DataFram
     return df.select(*key, line, words).mapInPandas(run, schema)
 
 
-def fnv1a(text: str) -> int:
-    h = 0x811C9DC5
-    for b in text.encode("utf-8"):
-        h = (h ^ b) * 0x01000193 & 0xFFFFFFFF
-    return h
-
-
-def seeded_numbers(seed: int, n: int) -> list[float]:
-    """n numbers in [0, 1) of a small generator with 32 bits of state."""
-    out, a = [], seed & 0xFFFFFFFF
-    mul = lambda x, y: (x * y) & 0xFFFFFFFF
-    for _ in range(n):
-        a = (a + 0x6D2B79F5) & 0xFFFFFFFF
-        t = mul(a ^ (a >> 15), a | 1)
-        t = (t ^ ((t + mul(t ^ (t >> 7), t | 61)) & 0xFFFFFFFF)) & 0xFFFFFFFF
-        out.append(((t ^ (t >> 14)) & 0xFFFFFFFF) / 4294967296)
-    return out
-
-
 def order_without_neighbours(df: DataFrame, panel: str, item: str, group: str) -> DataFrame:
-    """(panel, item, group, place): a shuffle of each panel in which no two neighbours share a group where that can be."""
-    schema = f"`{panel}` {df.schema[panel].dataType.simpleString()}, `{item}` {df.schema[item].dataType.simpleString()}, `{group}` {df.schema[group].dataType.simpleString()}, place int"
-
-    def arrange(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(item).reset_index(drop=True)
-        rows = list(range(len(pdf)))
-        draws = seeded_numbers(fnv1a(str(pdf[panel].iloc[0])), len(rows))
-        for i in range(len(rows) - 1, 0, -1):
-            j = int(draws[i] * (i + 1))
-            rows[i], rows[j] = rows[j], rows[i]
-        g = pdf[group].tolist()
-        out: list[int] = []
-        while rows:
-            k = next((k for k, r in enumerate(rows) if not out or g[r] != g[out[-1]]), None)
-            if k is None:
-                break
-            out.append(rows.pop(k))
-        for r in rows:  # leftovers go where neither neighbour shares their group, else to the end
-            k = next((k for k in range(len(out) + 1) if (k == 0 or g[out[k - 1]] != g[r]) and (k == len(out) or g[out[k]] != g[r])), len(out))
-            out.insert(k, r)
-        return pdf.loc[out, [panel, item, group]].assign(place=np.arange(len(out), dtype=np.int32))
-
-    return df.select(panel, item, group).groupBy(panel).applyInPandas(arrange, schema)
+    """(panel, item, group, place): an order of each panel in which no two neighbours share a group, where that can be.
+
+    The largest groups come first and fill every other place, then the places
+    between; that keeps a group apart from itself unless it has more than half
+    of the panel.  Within a group, and between groups of one size, the order is
+    by hash.  Places come from one numbering by ranges of all panels, so no
+    panel has to fit in one task.  Rows with a null are left out, repeated rows count once.
+    """
+    from stihora.operators.relations import dense_ids
+
+    rows = df.select(panel, item, group).dropna().distinct()
+    drawn = lambda *c: F.md5(F.concat_ws("|", *(F.col(x).cast("string") for x in c)))
+    sized = rows.join(rows.groupBy(panel, group).agg((-F.count("*")).alias("_less")), [panel, group])
+    keyed = sized.select(panel, item, group, "_less", drawn(panel, group).alias("_g"), drawn(panel, item).alias("_i"))
+    numbered = dense_ids(keyed, [panel, "_less", "_g", group, "_i", item], "_no")
+    ends = numbered.groupBy(panel).agg(F.min("_no").alias("_first"), F.count("*").alias("_n"))
+    at, even = F.col("_no") - F.col("_first"), F.ceil(F.col("_n") / 2)
+    place = F.when(at < even, 2 * at).otherwise(2 * (at - even) + 1)
+    return numbered.join(ends, panel).select(panel, item, group, place.cast("int").alias("place"))
 
 
 def k_means(df: DataFrame, group: str, vector: str, key: str, k: int = 5, rounds: int = 20, starts: int = 10, seed: int = 42) -> DataFrame:

@@ -112,7 +112,7 @@ def a19_alpha(spark, d):
 @query()
 def a20_bootstrap(spark, d):
     """Interval of the mean quality from 200 resamples."""
-    return E.bootstrap_interval(scored(spark, d), "quality", draws=200)
+    return E.bootstrap_interval(scored(spark, d), "quality")
 
 
 @query("WITH i AS (SELECT run, poem_id, clf_predicted, avg(quality) AS m FROM scored_poems GROUP BY ALL) SELECT run, clf_predicted, count(*) AS n_items, round(avg(m) + 1e-9, 6)::DOUBLE AS mean FROM i GROUP BY 1, 2")

@@ -13,10 +13,10 @@ from stihora.operators import sequential as Q
 from stihora.operators import stylometry as S
 from stihora.operators import tfidf as I
 
-from .join_queries import COOC, J9, MAJOR_LEMMA, TERMS, cooccurrence, similar_authors
+from .join_queries import J9, MAJOR_LEMMA, PAIRS, SPLITS, TERMS, similar_authors, terms
 from .registry import CONTENT, POEMS, TOKENS, poems, query, tokens
 from .style_queries import ELIGIBLE_WORDS, VOCAB, _top, eligible_words, r6, tfidf_ctes
-from .tables import table
+from .tables import table, written
 
 BEST = f"{MAJOR_LEMMA}, {TERMS}, {tfidf_ctes('author', 'word', True, 2, 0.85, 20)}"
 
@@ -25,29 +25,33 @@ def best_words(spark, d):
     return _top(I.tfidf(eligible_words(spark, d), "author", "word", sublinear=True, least_df=2, most_df=0.85), "author", "word", 20)
 
 
-@query(
-    f"""{TOKENS}, {BEST}, freq AS (SELECT word, count(*) AS f FROM tokens GROUP BY 1) SELECT author AS src, lemma AS dst, max(round(weight, 6)) AS weight, count(*) AS n_surfaces FROM best JOIN major USING (word) JOIN freq USING (word) WHERE f >= 2 GROUP BY 1, 2"""
-)
+#: Distinctive words as nodes: the term (lemma and part of speech) that a typical word mostly stands for, if it is frequent enough.
+MAJOR_TERM = "said AS (SELECT word, lemma, pos, count(*) AS n, min((poem_id, line_no, tok_no)) AS first FROM tokens GROUP BY ALL), major_term AS (SELECT word, lemma || '|' || pos AS term FROM said QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, first) = 1)"
+DISTINCTIVE = f"{CONTENT}, {TERMS}, {tfidf_ctes('author', 'word', True, 2, 0.85, 20)}, {MAJOR_TERM}, freq AS (SELECT word, count(*) AS f FROM tokens GROUP BY 1), distinctive AS (SELECT author AS src, term AS dst, max(round(weight, 6)) AS weight, count(*) AS n_surfaces FROM best JOIN major_term USING (word) JOIN freq USING (word) WHERE f >= 2 GROUP BY 1, 2)"
+
+
+@query(f"{DISTINCTIVE} SELECT * FROM distinctive")
 def g1_distinctive_edges(spark, d):
     t = tokens(spark, d)
-    major = S.majority(t, ["word"], ["lemma"], ["poem_id", "line_no", "tok_no"]).drop("n")
+    major = S.majority(t, ["word"], ["lemma", "pos"], ["poem_id", "line_no", "tok_no"]).select("word", F.concat_ws("|", "lemma", "pos").alias("term"))
     freq = t.groupBy("word").agg(F.count("*").alias("f")).filter("f >= 2")
     e = best_words(spark, d).join(major, "word").join(freq, "word", "left_semi")
-    return e.groupBy(F.col("author").alias("src"), F.col("lemma").alias("dst")).agg(F.max("weight").alias("weight"), F.count("*").alias("n_surfaces"))
+    return e.groupBy(F.col("author").alias("src"), F.col("term").alias("dst")).agg(F.max("weight").alias("weight"), F.count("*").alias("n_surfaces"))
 
 
-@query(f"{COOC}, nodes AS (SELECT lemma FROM sets GROUP BY 1 HAVING count(*) BETWEEN 10 AND 250) SELECT a AS src, b AS dst, n AS weight FROM pairs WHERE n >= 2 AND a IN (SELECT lemma FROM nodes) AND b IN (SELECT lemma FROM nodes)")
+EDGES = f"{DISTINCTIVE}, nodes AS (SELECT DISTINCT dst AS term FROM distinctive), sets AS (SELECT DISTINCT poem_id, lemma || '|' || pos AS term FROM content WHERE lemma || '|' || pos IN (SELECT term FROM nodes)), {PAIRS}, edges AS (SELECT a AS src, b AS dst, n AS weight FROM pairs WHERE n >= 2), links AS (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges)"
+
+
+@query(f"{EDGES} SELECT * FROM edges")
 def g2_cooccurrence_edges(spark, d):
     return cooc_edges(spark, d)
 
 
 def cooc_edges(spark, d):
-    sets = R.content(tokens(spark, d)).select("poem_id", "lemma").distinct()
-    nodes = sets.groupBy("lemma").agg(F.count("*").alias("n")).filter("n between 10 and 250").select("lemma")
-    return J.cooccurrence(sets.join(nodes, "lemma", "left_semi"), "poem_id", "lemma").filter("n >= 2").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("n").alias("weight"))
-
-
-EDGES = f"{COOC}, nodes AS (SELECT lemma FROM sets GROUP BY 1 HAVING count(*) BETWEEN 10 AND 250), edges AS (SELECT a AS src, b AS dst, n AS weight FROM pairs WHERE n >= 2 AND a IN (SELECT lemma FROM nodes) AND b IN (SELECT lemma FROM nodes)), links AS (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges)"
+    """Distinctive words that stand together in two poems or more, however frequent they are."""
+    nodes = g1_distinctive_edges(spark, d).select(F.col("dst").alias("term")).distinct()
+    pairs = J.cooccurrence(terms(spark, d).join(nodes, "term", "left_semi"), "poem_id", "term")
+    return written(pairs.filter("n >= 2").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("n").alias("weight")))
 
 
 @query(f"{EDGES} SELECT src AS id, sum(weight)::BIGINT AS degree, count(*) AS n_edges FROM links GROUP BY 1")
@@ -60,24 +64,28 @@ def g5_node_sizes(spark, d):
     return G.node_sizes(G.weighted_degree(cooc_edges(spark, d)), "degree", 10.0, 40.0).select("id", r6("size").alias("size"))
 
 
-_ROUNDS = 5
+#: Rounds that the SQL twin unrolls; it takes the first whose ranks moved by less than the tolerance, as the operator does.
+_ROUNDS, _TOLERANCE = 25, 1e-6
 _RANKS = ", ".join(
-    f"r{i} AS (SELECT n.id, 0.15::DOUBLE / c.n + 0.85 * coalesce(g.got, 0) AS rank FROM ids n, c LEFT JOIN (SELECT s.dst AS id, sum(s.share * r.rank) AS got FROM shares s JOIN r{i - 1} r ON r.id = s.src GROUP BY 1) g ON g.id = n.id)" for i in range(1, _ROUNDS + 1)
+    f"r{i} AS MATERIALIZED (SELECT n.id, 0.15::DOUBLE / c.n + 0.85 * coalesce(g.got, 0) AS rank FROM ids n CROSS JOIN c LEFT JOIN (SELECT s.dst AS id, sum(s.share * r.rank) AS got FROM shares s JOIN r{i - 1} r ON r.id = s.src GROUP BY 1) g ON g.id = n.id)"
+    for i in range(1, _ROUNDS + 1)
 )
+_MOVED = " UNION ALL ".join(f"SELECT {i} AS k, sum(abs(x.rank - y.rank)) AS moved FROM r{i} x JOIN r{i - 1} y USING (id)" for i in range(1, _ROUNDS + 1))
+_EVERY = " UNION ALL ".join(f"SELECT {i} AS k, id, rank FROM r{i}" for i in range(1, _ROUNDS + 1))
 
 
 @query(
-    f"""{EDGES}, total AS (SELECT src, sum(weight) AS t FROM links GROUP BY 1), shares AS (SELECT src, dst, weight / t AS share FROM links JOIN total USING (src)), ids AS (SELECT DISTINCT src AS id FROM links), c AS (SELECT count(*) AS n FROM ids),
-    r0 AS (SELECT id, 1.0::DOUBLE / n AS rank FROM ids, c), {_RANKS} SELECT id, round(rank * 1000, 6) AS rank FROM r{_ROUNDS}"""
+    f"""{EDGES.replace("links AS (", "links AS MATERIALIZED (")}, total AS (SELECT src, sum(weight) AS t FROM links GROUP BY 1), shares AS MATERIALIZED (SELECT src, dst, weight / t AS share FROM links JOIN total USING (src)), ids AS MATERIALIZED (SELECT DISTINCT src AS id FROM links), c AS MATERIALIZED (SELECT count(*) AS n FROM ids),
+    r0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE / n AS rank FROM ids, c), {_RANKS}, stop AS (SELECT min(k) AS k FROM ({_MOVED}) m, c WHERE moved < {_TOLERANCE}::DOUBLE * c.n) SELECT id, round(rank * 1000, 6) AS rank FROM ({_EVERY}) e WHERE k = (SELECT k FROM stop)"""
 )
 def g7_pagerank(spark, d):
-    return G.pagerank(cooc_edges(spark, d), rounds=_ROUNDS).select("id", F.round(F.col("rank") * 1000, 6).alias("rank"))
+    return G.pagerank(cooc_edges(spark, d), rounds=100, tolerance=_TOLERANCE).select("id", F.round(F.col("rank") * 1000, 6).alias("rank"))
 
 
 @query()
 def g8_communities(spark, d):
-    """Communities of lemmas that stand together."""
-    return G.communities(cooc_edges(spark, d), rounds=5)
+    """Communities of words that stand together."""
+    return G.communities(cooc_edges(spark, d))
 
 
 @query(f"{J9} SELECT a AS src, b AS dst, round(jaccard, 6) AS weight FROM alike")
@@ -95,7 +103,7 @@ def g9_community_report(spark, d):
     """Communities over distinctive and co-occurrence edges that have an author, with their sizes."""
     words = g1_distinctive_edges(spark, d).select(F.concat(F.lit("author:"), "src").alias("src"), "dst", "weight")
     edges = words.unionByName(cooc_edges(spark, d).select("src", "dst", (F.col("weight") / 100).alias("weight")))
-    return G.community_report(G.communities(edges, rounds=4), words.select(F.col("src").alias("id")).distinct())
+    return G.community_report(G.communities(edges), words.select(F.col("src").alias("id")).distinct())
 
 
 @query(f"{EDGES}, t AS (SELECT src, dst, 'cooccurrence' AS edge_type, weight::DOUBLE AS weight FROM edges UNION ALL SELECT dst, src, 'reverse', weight * 2::DOUBLE FROM edges WHERE weight >= 4) SELECT least(src, dst) AS src, greatest(src, dst) AS dst, max(edge_type) AS edge_type, arg_max(weight, edge_type) AS weight FROM t GROUP BY 1, 2")
@@ -112,17 +120,23 @@ def g11_neighbours(spark, d):
     return links.join(F.broadcast(first), "src").select(F.col("dst").alias("neighbour"), "weight")
 
 
-@query(f"{EDGES}, ids AS (SELECT DISTINCT src AS id FROM links) SELECT count(*) + (SELECT count(*) FROM edges) + 3 AS n_lines FROM ids")
+@query(
+    f"""{EDGES}, ids AS (SELECT DISTINCT src AS id FROM links) SELECT '<node id="' || id || '" label="' || id || '"/>' AS line FROM ids UNION ALL SELECT '<edge source="' || src || '" target="' || dst || '" weight="' || weight || '"/>' FROM edges
+    UNION ALL SELECT unnest(['<?xml version="1.0" encoding="UTF-8"?><gexf xmlns="http://gexf.net/1.3" version="1.3"><graph defaultedgetype="undirected"><nodes>', '</nodes><edges>', '</edges></graph></gexf>'])"""
+)
 def s8_gexf(spark, d):
     e = cooc_edges(spark, d)
     nodes = G.both_ways(e).select(F.col("src").alias("id")).distinct()
-    return G.gexf(nodes, e).agg(F.count("*").alias("n_lines"))
+    return G.gexf(nodes, e)
 
 
 @query(f"{CONTENT} SELECT pos, CASE pos WHEN 'NOUN' THEN '#4c72b0' WHEN 'VERB' THEN '#c44e52' WHEN 'ADJ' THEN '#55a868' ELSE '#8172b2' END AS colour, count(DISTINCT lemma) AS n FROM content GROUP BY 1")
 def proj_p18_colours(spark, d):
-    colour = F.when(F.col("pos") == "NOUN", "#4c72b0").when(F.col("pos") == "VERB", "#c44e52").when(F.col("pos") == "ADJ", "#55a868").otherwise("#8172b2")
-    return R.content(tokens(spark, d)).groupBy("pos").agg(F.countDistinct("lemma").alias("n")).select("pos", colour.alias("colour"), "n")
+    return R.content(tokens(spark, d)).groupBy("pos").agg(F.countDistinct("lemma").alias("n")).select("pos", pos_colour(F.col("pos")).alias("colour"), "n")
+
+
+def pos_colour(pos):
+    return F.when(pos == "NOUN", "#4c72b0").when(pos == "VERB", "#c44e52").when(pos == "ADJ", "#55a868").otherwise("#8172b2")
 
 
 SLOTS = "slots AS (SELECT poem_id, line_no, tok_no, author, lag(pos) OVER w AS prev_pos, pos, lead(pos) OVER w AS next_pos FROM content WINDOW w AS (PARTITION BY poem_id, line_no ORDER BY tok_no))"
@@ -278,11 +292,16 @@ def w12_word_spans(spark, d):
     return s.select("poem_id", F.size("spans").cast("bigint").alias("n_words"), F.size(F.filter("spans", lambda x: x < 0)).cast("bigint").alias("n_absent"))
 
 
-@query()
+@query(
+    f"""WITH {SPLITS}, p AS (SELECT DISTINCT s.split, p.poem_id, p.author FROM splits s JOIN poem_splits p ON p.poem_id = s.poem_id AND lower(regexp_replace(p.split, '^\\s+|\\s+$', '', 'g')) = s.split WHERE p.poem_id IS NOT NULL AND p.author IS NOT NULL),
+    q AS (SELECT *, count(*) OVER (PARTITION BY split, author) AS size, count(*) OVER (PARTITION BY split) AS n FROM p),
+    r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY size DESC, md5(split || '|' || author), author, md5(split || '|' || poem_id), poem_id) - 1 AS k FROM q)
+    SELECT split, poem_id, author, (CASE WHEN k < (n + 1) // 2 THEN 2 * k ELSE 2 * (k - (n + 1) // 2) + 1 END)::INT AS place FROM r"""
+)
 def w13_no_neighbours(spark, d):
     """Poems of each split in an order in which neighbours have different authors."""
     label = F.lower(F.regexp_replace("split", r"^\s+|\s+$", "")).alias("split")
-    s = table(spark, d, "poem_splits").select(label, "poem_id", "author").dropna().distinct()
+    s = table(spark, d, "poem_splits").select(label, "poem_id", "author")
     return Q.order_without_neighbours(s, "split", "poem_id", "author")
 
 

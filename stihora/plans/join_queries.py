@@ -67,13 +67,21 @@ def o3_target_authors(spark, d):
     return best.select(F.col("author").alias("target"))
 
 
-J6_SQL = f"""{TOKENS}, r0 AS (SELECT lower(word) AS w, pos AS p, arg_max(struct_pack(correction := correction, lemma_fix := lemma_fix), rule_id) AS v FROM pos_corrections WHERE scope IS NULL OR scope NOT IN ('row', 'poem') GROUP BY 1, 2),
-r1 AS (SELECT lower(word) AS w, pos AS p, poem_id, arg_max(struct_pack(correction := correction, lemma_fix := lemma_fix), rule_id) AS v FROM pos_corrections WHERE scope = 'poem' GROUP BY 1, 2, 3),
-ruled AS (SELECT t.*, coalesce(r1.v, r0.v) AS rule FROM tokens t LEFT JOIN r0 ON r0.w = t.word AND r0.p = t.pos LEFT JOIN r1 ON r1.w = t.word AND r1.p = t.pos AND r1.poem_id = t.poem_id)"""
+_RULE = "arg_max(struct_pack(correction := correction, lemma_fix := lemma_fix), rule_id) AS v"
+J6_SQL = f"""{TOKENS}, r0 AS (SELECT lower(word) AS w, pos AS p, {_RULE} FROM pos_corrections WHERE scope IS NULL OR scope NOT IN ('row', 'poem') GROUP BY 1, 2),
+r1 AS (SELECT lower(word) AS w, pos AS p, poem_id, {_RULE} FROM pos_corrections WHERE scope = 'poem' GROUP BY 1, 2, 3),
+r2 AS (SELECT lower(word) AS w, pos AS p, poem_id, regexp_replace(lower(context), '[^\\p{{L}}]+', '', 'g') AS c, {_RULE} FROM pos_corrections WHERE scope = 'row' GROUP BY 1, 2, 3, 4),
+tl AS (SELECT tokens.*, regexp_replace(lower(line), '[^\\p{{L}}]+', '', 'g') AS c FROM tokens JOIN lines USING (poem_id, author, line_no)),
+ruled AS (SELECT t.* EXCLUDE (c), coalesce(r2.v, r1.v, r0.v) AS rule FROM tl t LEFT JOIN r0 ON r0.w = t.word AND r0.p = t.pos LEFT JOIN r1 ON r1.w = t.word AND r1.p = t.pos AND r1.poem_id = t.poem_id
+  LEFT JOIN r2 ON r2.w = t.word AND r2.p = t.pos AND r2.poem_id = t.poem_id AND r2.c = t.c)"""
 
 
 def ruled(spark, d):
-    return J.scoped_lookup(tokens(spark, d), table(spark, d, "pos_corrections"), "word", "pos", ["correction", "lemma_fix"])
+    """Tokens with their rule; rules of one row are told by the letters of the line they quote."""
+    letters = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}]+", "")
+    rules = table(spark, d, "pos_corrections").withColumn("context", letters("context"))
+    lined = R.line_table(poems(spark, d)).select("poem_id", "author", "line_no", letters("line").alias("context"))
+    return J.scoped_lookup(tokens(spark, d).join(lined, ["poem_id", "author", "line_no"]), rules, "word", "pos", ["correction", "lemma_fix"], context="context").drop("context")
 
 
 @query(f"{J6_SQL} SELECT poem_id, line_no::INT AS line_no, tok_no::INT AS tok_no, word, rule.correction AS correction, rule.lemma_fix AS lemma_fix FROM ruled WHERE rule IS NOT NULL")
@@ -90,22 +98,23 @@ def j6_corrected(spark, d):
     return both.groupBy(F.col("pos").alias("new_pos")).agg(F.count("*").alias("n"), F.count_if(F.col("lemma") != F.col("before")).alias("n_lemmas"))
 
 
-PAIRS = "pairs AS (SELECT a.lemma AS a, b.lemma AS b, count(*) AS n FROM sets a JOIN sets b ON a.poem_id = b.poem_id AND a.lemma < b.lemma GROUP BY 1, 2)"
-COOC = f"{CONTENT}, sets AS (SELECT DISTINCT poem_id, lemma FROM content), {PAIRS}"
+#: A term is a lemma with its part of speech.
+PAIRS = "pairs AS (SELECT a.term AS a, b.term AS b, count(*) AS n FROM sets a JOIN sets b ON a.poem_id = b.poem_id AND a.term < b.term GROUP BY 1, 2)"
+COOC = f"{CONTENT}, sets AS (SELECT DISTINCT poem_id, lemma || '|' || pos AS term FROM content), {PAIRS}"
 
 
-def cooccurrence(spark, d):
-    return J.cooccurrence(R.content(tokens(spark, d)), "poem_id", "lemma")
+def terms(spark, d):
+    return R.content(tokens(spark, d)).select("poem_id", F.concat_ws("|", "lemma", "pos").alias("term"))
 
 
-@query(f"{COOC} SELECT a, b, n FROM pairs WHERE n >= 5")
+@query(f"{COOC} SELECT a, b, n FROM pairs")
 def j7_cooccurrence(spark, d):
-    return cooccurrence(spark, d).filter("n >= 5")
+    return J.cooccurrence(terms(spark, d), "poem_id", "term")
 
 
-@query(f"{COOC} SELECT a, b, n FROM pairs WHERE n >= 20 UNION ALL SELECT b, a, n FROM pairs WHERE n >= 20")
+@query(f"{COOC} SELECT a, b, n FROM pairs UNION ALL SELECT b, a, n FROM pairs")
 def j8_symmetric(spark, d):
-    return J.symmetric(cooccurrence(spark, d).filter("n >= 20"))
+    return J.symmetric(J.cooccurrence(terms(spark, d), "poem_id", "term"))
 
 
 J9 = f"""{CONTENT}, busy AS (SELECT author FROM poems GROUP BY 1 HAVING count(*) >= 5), sets AS (SELECT DISTINCT author, lemma FROM content WHERE author IN (SELECT author FROM busy)), size AS (SELECT author, count(*) AS n FROM sets GROUP BY 1),

@@ -9,35 +9,36 @@ from pyspark.sql import functions as F
 from stihora.functions import text as T
 from stihora.operators import evaluation as E
 from stihora.operators import generation as G
+from stihora.operators import graph as GR
 from stihora.operators import ml as M
 from stihora.operators import relations as R
-from stihora.operators import sequential as Q
+from stihora.functions import numeric as N
 from stihora.operators import stylometry as S
 from stihora.sources import files
 from stihora.streaming import streams
 
 from .evaluation_queries import scored, steps
-from .graph_queries import best_words, cooc_edges
+from .graph_queries import EDGES, best_words, cooc_edges, pos_colour
 from .other_queries import EVENT_SCHEMA, _events, _folder
 from .registry import CONTENT, GENERATED, POEMS, TOKENS, generated, poems, query, sql_lines, tokens
 from .style_queries import ELIGIBLE_WORDS, r6, tfidf_ctes
-from .tables import table
+from .tables import table, written
 from .text_queries import REPETITION, repetition
 
 
-@query("SELECT count(*) FILTER (trim(author) <> '' AND trim(song_text, chr(10) || ' ') <> '') AS n_good, count(*) - count(*) FILTER (trim(author) <> '' AND trim(song_text, chr(10) || ' ') <> '') AS n_rejected FROM stripped_songs WHERE song_text IS NULL OR NOT contains(song_text, chr(13))")
+@query("SELECT count(*) FILTER (trim(author) <> '' AND trim(song_text, chr(10) || ' ') <> '') AS n_good, count(*) - count(*) FILTER (trim(author) <> '' AND trim(song_text, chr(10) || ' ') <> '') AS n_rejected FROM stripped_songs")
 def s2_rejects(spark, d):
     path = _folder(spark)
-    songs = table(spark, d, "stripped_songs").filter(F.col("song_text").isNull() | ~F.contains("song_text", F.lit("\r"))).select("author", "song_title", "song_text")
+    songs = table(spark, d, "stripped_songs").select("author", "song_title", "song_text")
     files.write_csv(songs, path)
     good, bad = files.read_csv_checked(spark, path, ["author", "song_title", "song_text"], ["author", "song_text"])
     return good.agg(F.count("*").alias("n_good")).join(bad.agg(F.count("*").alias("n_rejected")))
 
 
-@query("SELECT max(length(text))::INT AS longest, count(*) AS n FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(13))")
+@query("SELECT max(length(text))::INT AS longest, count(*) AS n FROM documents WHERE text IS NOT NULL")
 def s3_long_fields(spark, d):
     path = _folder(spark)
-    docs = table(spark, d, "documents").filter(F.col("text").isNotNull() & ~F.contains("text", F.lit("\r")))
+    docs = table(spark, d, "documents").filter(F.col("text").isNotNull())
     files.write_csv(docs.select("doc_id", F.concat(F.lit("|"), "text", F.lit("|")).alias("text")), path)
     return files.read_csv(spark, path, "doc_id bigint, text string").agg((F.max(F.length("text")) - 2).alias("longest"), F.count("*").alias("n"))
 
@@ -49,48 +50,49 @@ def s7_model_round_trip(spark, d):
 
     train = R.eligible(poems(spark, d)).select("poem_id", "author", "text")
     path = _folder(spark)
-    M.author_classifier(train, iterations=2, vocabulary=1000).write().save(path)
+    M.author_classifier(train).write().save(path)
     return M.predict(PipelineModel.load(path), train).select("poem_id", "predicted")
 
 
-@query("SELECT split, count(*) AS n FROM poem_splits GROUP BY 1")
+@query("SELECT poem_id, author, song_title, split FROM poem_splits")
 def s9_csv_overwrite(spark, d):
     path = _folder(spark)
+    kept = ("author", "song_title", "split")
     for _ in range(2):
-        files.write_csv(table(spark, d, "poem_splits").withColumn("split", F.concat(F.lit("|"), "split", F.lit("|"))), path, single=True)
+        files.write_csv(table(spark, d, "poem_splits").withColumns({c: F.concat(F.lit("|"), c, F.lit("|")) for c in kept}), path, single=True)
     back = files.read_csv(spark, path, "poem_id bigint, author string, song_title string, split string")
-    return back.groupBy(F.regexp_replace("split", r"^\||\|$", "").alias("split")).agg(F.count("*").alias("n"))
+    return back.withColumns({c: F.regexp_replace(c, r"(?s)^\||\|$", "") for c in kept})
 
 
-@query("SELECT 2 * count(*) AS n FROM lang_samples")
+@query("SELECT sample_id, lang, text FROM lang_samples UNION ALL SELECT sample_id, lang, text FROM lang_samples")
 def s10_append(spark, d):
     path = _folder(spark)
     for _ in range(2):
         files.append_rows(table(spark, d, "lang_samples"), path)
-    return spark.read.parquet(path).agg(F.count("*").alias("n"))
+    return spark.read.parquet(path).select("sample_id", "lang", "text")
 
 
-@query("SELECT task, count(*) AS n FROM eval_items GROUP BY 1")
+@query("SELECT item_id, task, split, lang, text FROM eval_items")
 def s11_json_documents(spark, d):
     path = _folder(spark)
     files.write_json_documents(table(spark, d, "eval_items"), path, by="task")
-    return spark.read.json(path).groupBy("task").agg(F.count("*").alias("n"))
+    return spark.read.json(path).select("item_id", "task", "split", "lang", "text")
 
 
-@query("SELECT run, 2 * count(*) AS n FROM scored_poems GROUP BY 1")
+@query("SELECT run, poem_id, quality FROM scored_poems UNION ALL SELECT run, poem_id, quality FROM scored_poems")
 def s12_json_lines_append(spark, d):
     path = _folder(spark)
     for _ in range(2):
         files.append_rows(table(spark, d, "scored_poems"), path, "json")
-    return files.read_json_lines(spark, path, "run string").groupBy("run").agg(F.count("*").alias("n"))
+    return files.read_json_lines(spark, path, "run string, poem_id bigint, quality double")
 
 
-@query("SELECT v.version, count(*) AS n FROM poem_splits, (VALUES (1), (2)) v(version) GROUP BY 1")
+@query("SELECT v.version, poem_id, author, song_title, split FROM poem_splits, (VALUES (1), (2)) v(version)")
 def s13_versions(spark, d):
     root = _folder(spark)
     for v in ("1", "2"):
         files.write_versioned(table(spark, d, "poem_splits"), root, v)
-    return spark.read.parquet(root).groupBy("version").agg(F.count("*").alias("n"))
+    return spark.read.parquet(root).select("version", "poem_id", "author", "song_title", "split")
 
 
 @query(f"WITH {GENERATED} SELECT example_id, 'Во стилот на ' || target_author || ':' AS prompt, generated_poem AS completion FROM examples WHERE generated_poem IS NOT NULL AND split = 'train'")
@@ -99,11 +101,17 @@ def s19_prompt_completion(spark, d):
     return g.select("example_id", F.concat(F.lit("Во стилот на "), "target_author", F.lit(":")).alias("prompt"), F.col("generated_poem").alias("completion"))
 
 
-@query()
+@query(
+    f"""{EDGES}, deg AS (SELECT src AS id, sum(weight)::BIGINT AS degree FROM links GROUP BY 1) SELECT 'node' AS kind, id AS a, NULL::VARCHAR AS b, CASE split_part(id, '|', 2) WHEN 'NOUN' THEN '#4c72b0' WHEN 'VERB' THEN '#c44e52' WHEN 'ADJ' THEN '#55a868' ELSE '#8172b2' END AS colour, round(10 + 40 * degree / (SELECT max(degree) FROM deg), 6)::DOUBLE AS size FROM deg
+    UNION ALL SELECT 'edge', src, dst, '#999999', round(5.0::DOUBLE * weight / (SELECT max(weight) FROM edges), 6) FROM edges"""
+)
 def s16_graph_view(spark, d):
-    """Nodes with size and edges with width, as a viewer takes them."""
+    """What a viewer draws: nodes with colour and size, edges with width."""
     e = cooc_edges(spark, d)
-    return e.select("src", "dst", (F.col("weight") * 5).alias("width"))
+    nodes = GR.node_sizes(GR.weighted_degree(e), "degree", 10.0, 40.0)
+    drawn = nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.lit(None).cast("string").alias("b"), pos_colour(F.element_at(F.split("id", r"\|"), 2)).alias("colour"), r6("size").alias("size"))
+    widths = GR.node_sizes(e.withColumnRenamed("weight", "w"), "w", 0.0, 5.0)
+    return drawn.unionByName(widths.select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.lit("#999999").alias("colour"), r6("size").alias("size")))
 
 
 @query("SELECT event_type, date_trunc('hour', ts) AS step, round(avg(value), 6) AS v FROM events GROUP BY 1, 2")
@@ -154,9 +162,9 @@ def a4_pos_percentages(spark, d):
 
 @query()
 def a25_cross_validation(spark, d):
-    """Accuracy and F1 of three folds of the author classifier."""
+    """Accuracy and F1 of five folds of the author classifier."""
     busy = R.eligible(poems(spark, d), least=5).select("poem_id", "author", "text")
-    return M.cross_validated(busy, "author", "poem_id", k=3, iterations=2, vocabulary=500)
+    return M.cross_validated(busy, "author", "poem_id")
 
 
 @query("SELECT DISTINCT source_poem_id::VARCHAR AS id, row_number() OVER (ORDER BY source_poem_id) - 1 AS place FROM (SELECT DISTINCT source_poem_id FROM synthetic_dataset WHERE source_poem_id IS NOT NULL)")
@@ -216,19 +224,11 @@ def t23_slugs_and_labels(spark, d):
     return g.select("target_author", T.slug(F.col("target_author")).alias("slug"), F.format_string("%s (%d)", "target_author", "sample_index").alias("label")).distinct()
 
 
-@query()
+@query(f"SELECT example_id, h, {N.first_draw_sql('h', duck=True)} AS x FROM (SELECT example_id, {N.small_hash_sql('example_id', duck=True)} AS h FROM (SELECT DISTINCT example_id FROM synthetic_dataset))")
 def t32_hashes_and_numbers(spark, d):
     """Small hashes of example ids and the first number drawn from each."""
-    @F.pandas_udf("bigint")
-    def small(s):
-        return s.map(Q.fnv1a)
-
-    @F.pandas_udf("double")
-    def number(s):
-        return s.map(lambda h: Q.seeded_numbers(int(h), 1)[0])
-
-    ids = table(spark, d, "synthetic_dataset").select("example_id").distinct().withColumn("h", small("example_id"))
-    return ids.withColumn("x", number("h"))
+    ids = table(spark, d, "synthetic_dataset").select("example_id").distinct()
+    return ids.withColumn("h", F.expr(N.small_hash_sql("example_id"))).withColumn("x", F.expr(N.first_draw_sql("h")))
 
 
 @query("SELECT word, regexp_matches(word, '(ски|ска|ско|цки|цка|цко)$') AS of_a_place, regexp_replace(lower(word), '^[^\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+$', '', 'g') AS bare FROM (SELECT DISTINCT word FROM pos_corrections WHERE word IS NOT NULL)")
@@ -276,11 +276,11 @@ def m7_rounded_tree(spark, d):
     return m.select("run", F.transform(F.map_entries(rounded), lambda e: F.concat_ws("=", e["key"], e["value"])).alias("rounded"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS ws FROM documents WHERE text IS NOT NULL) SELECT doc_id, [ws[i] || '>' || ws[i+1] for i in range(1, least(len(ws), 4))] AS first_pairs FROM w WHERE len(ws) > 1""")
+@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS ws FROM documents WHERE text IS NOT NULL) SELECT doc_id, [ws[i] || '>' || ws[i+1] for i in range(1, len(ws))] AS pairs FROM w WHERE len(ws) > 1""")
 def m8_adjacent_pairs(spark, d):
     w = table(spark, d, "documents").filter("text is not null").select("doc_id", T.words(F.col("text")).alias("w")).filter("size(w) > 1")
     pairs = F.transform(F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("a"), F.slice("w", F.lit(2), F.size("w") - 1).alias("b")), lambda p: F.concat(p["a"], F.lit(">"), p["b"]))
-    return w.select("doc_id", F.slice(pairs, 1, 3).alias("first_pairs"))
+    return w.select("doc_id", pairs.alias("pairs"))
 
 
 @query("SELECT DISTINCT event_type, CASE WHEN event_type = 'click' THEN 2.0 ELSE 1.0 END::DOUBLE AS alpha, 3.0::DOUBLE AS power FROM events")
@@ -294,10 +294,12 @@ def m10_config_override(spark, d):
 
 @query()
 def k1_character_classifier(spark, d):
-    """Author classifier over character n-grams: accuracy on the rows it was fitted on."""
-    p = R.eligible(poems(spark, d), least=3).select("poem_id", "author", "text")
-    model = M.author_classifier(p, chars=True, iterations=3, vocabulary=2000)
-    return M.predict(model, p, chars=True).agg(F.count("*").alias("n"), r6(F.avg((F.col("predicted") == F.col("author")).cast("double"))).alias("accuracy"))
+    """Author classifier over character n-grams, fitted on four folds of five: accuracy on the fifth."""
+    p = R.eligible(poems(spark, d)).select("poem_id", "author", "text")
+    folded = written(M.folds(p, "author", "poem_id").select("poem_id", "fold").join(p, "poem_id"))
+    model = M.author_classifier(folded.filter("fold > 0").select("poem_id", "author", "text"), chars=True)
+    held = M.predict(model, folded.filter("fold = 0").select("poem_id", "author", "text"), chars=True)
+    return held.agg(F.count("*").alias("n"), r6(F.avg((F.col("predicted") == F.col("author")).cast("double"))).alias("accuracy"))
 
 
 @query(f"{TOKENS} SELECT pos, count(*) AS n, count(DISTINCT lemma) AS n_lemmas, count(DISTINCT feats) AS n_feats FROM tokens GROUP BY 1")

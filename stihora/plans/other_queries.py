@@ -26,10 +26,10 @@ def _folder(spark):
     return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
-@query("SELECT poem_id, md5(song_text) AS digest FROM stripped_songs WHERE song_text IS NOT NULL AND NOT contains(song_text, chr(13))")
+@query("SELECT poem_id, md5(song_text) AS digest FROM stripped_songs WHERE song_text IS NOT NULL")
 def s1_csv_round_trip(spark, d):
     path = _folder(spark)
-    files.write_csv(table(spark, d, "stripped_songs").filter(~F.contains("song_text", F.lit("\r"))).select("poem_id", F.concat(F.lit("|"), "song_text", F.lit("|")).alias("song_text")), path)
+    files.write_csv(table(spark, d, "stripped_songs").filter("song_text is not null").select("poem_id", F.concat(F.lit("|"), "song_text", F.lit("|")).alias("song_text")), path)
     back = files.read_csv(spark, path, "poem_id bigint, song_text string")
     return back.select("poem_id", F.md5(F.expr("substring(song_text, 2, length(song_text) - 2)")).alias("digest"))
 
@@ -112,17 +112,18 @@ def l5_prompts(spark, d):
     return G.assembled_prompts(poems(spark, d), best, words.withColumn("description", F.lit("кратки редови")))
 
 
-@query(r"""SELECT doc_id AS probe, CASE WHEN length(text) > 0 THEN 1.0 ELSE 1.0 END::DOUBLE AS kept, len(regexp_extract_all(text, '\[MASK\]|\[[^\]]*\]'))::INT AS markers_left FROM documents WHERE text IS NOT NULL""")
+@query(r"""WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws, ['река', 'песна', 'the', 'ноќ'] AS frozen FROM documents WHERE text IS NOT NULL) SELECT doc_id AS probe, len(list_intersect(frozen, ws)) / 4.0::DOUBLE AS kept, len(regexp_extract_all(text, '\[MASK\]|\[[^\]]*\]'))::INT AS markers_left FROM w""")
 def l6_probe_report(spark, d):
     docs = table(spark, d, "documents").filter("text is not null")
-    probes = docs.select(F.col("doc_id").alias("probe"), F.slice(T.words(F.col("text"), T.WORD_CHARS), 1, 5).alias("frozen"), F.col("text").alias("answer"))
+    probes = docs.select(F.col("doc_id").alias("probe"), F.array(*map(F.lit, ("река", "песна", "the", "ноќ"))).alias("frozen"), F.col("text").alias("answer"))
     return G.probe_report(probes).select("probe", "kept", "markers_left")
 
 
-@query("SELECT component, count(*) AS n FROM (SELECT DISTINCT str_split(log_path, '/')[-1] AS component, log_path FROM synthetic_dataset WHERE log_path LIKE '%_0.json') GROUP BY 1")
+@query(r"SELECT str_split(module, '.')[-1] AS component, count(*) AS n FROM (SELECT DISTINCT replace(log_path, '/', '.') AS module FROM synthetic_dataset WHERE log_path IS NOT NULL) WHERE regexp_full_match(module, '.*_[0-2]\.json') GROUP BY 1")
 def k10_matching_targets(spark, d):
-    m = table(spark, d, "synthetic_dataset").select("log_path").distinct().filter(F.endswith("log_path", F.lit("_0.json")))
-    return m.groupBy(F.element_at(F.split("log_path", "/"), -1).alias("component")).agg(F.count("*").alias("n"))
+    """Parts of dotted names that a full pattern matches; the names are those of log files."""
+    modules = table(spark, d, "synthetic_dataset").select(F.replace("log_path", F.lit("/"), F.lit(".")).alias("module")).dropna().distinct()
+    return G.matching_targets(modules, pattern=r".*_[0-2]\.json")
 
 
 @query("SELECT poem_id, author, ((row_number() OVER (PARTITION BY author ORDER BY md5('42|' || poem_id::VARCHAR), poem_id) - 1) % 5)::INT AS fold FROM (" + POEMS + " SELECT poem_id, author FROM poems)")
@@ -134,7 +135,7 @@ def k2_folds(spark, d):
 def k3_author_judge(spark, d):
     """Held-out accuracy of the author classifier fitted on the train split."""
     p = R.eligible(poems(spark, d)).join(splits(spark, d), "poem_id")
-    model = M.author_classifier(R.eligible(p.filter("split = 'train'")).select("poem_id", "author", "text"), iterations=5, vocabulary=5000)
+    model = M.author_classifier(R.eligible(p.filter("split = 'train'")).select("poem_id", "author", "text"))
     return M.held_out_accuracy(model, p.filter("split <> 'train'").select("poem_id", "author", "text")).withColumn("accuracy", r6("accuracy"))
 
 
@@ -142,7 +143,7 @@ def k3_author_judge(spark, d):
 def k4_author_predictions(spark, d):
     """Predicted author of each generated poem and the probability of its target."""
     train = R.eligible(poems(spark, d)).select("poem_id", "author", "text")
-    model = M.author_classifier(train, iterations=5, vocabulary=5000)
+    model = M.author_classifier(train)
     g = generated(spark, d).select("example_id", "target_author", F.col("generated_poem").alias("text"))
     return M.predict(model, g, "target_author").select("example_id", "predicted", r6("top_probability").alias("top_probability"), r6("target_probability").alias("target_probability"))
 

@@ -11,15 +11,15 @@ from stihora.storage import written
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """CSV with a header and quoted fields of several lines, however long."""
-    r = spark.read.options(header=True, multiLine=True, quote='"', escape='"', maxCharsPerColumn=-1, encoding="UTF-8")
+    """CSV with a header and quoted fields of several lines, however long; carriage returns inside fields are kept."""
+    r = spark.read.options(header=True, multiLine=True, lineSep="\n", quote='"', escape='"', maxCharsPerColumn=-1, encoding="UTF-8")
     return (r.schema(schema) if schema else r).csv(path)
 
 
 def read_csv_checked(spark: SparkSession, path: str, columns: list[str], needed: list[str]) -> tuple[DataFrame, DataFrame]:
     """(good rows, rejects with their reason): rows with too many or too few columns, or with a needed one missing, are rejected."""
     schema = StructType([StructField(c, StringType()) for c in columns] + [StructField("_corrupt", StringType())])
-    rows = spark.read.options(header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True).schema(schema).csv(path)
+    rows = spark.read.options(header=True, multiLine=True, lineSep="\n", quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True).schema(schema).csv(path)
     rows = written(rows)  # parsed once for both results
     whole = rows.filter("_corrupt is null").drop("_corrupt")
     good = required(whole, *needed)
@@ -54,7 +54,7 @@ def read_runs(spark: SparkSession, pattern: str, schema: str, base: str = "base"
 
 def write_csv(df: DataFrame, path: str, single: bool = False, mode: str = "overwrite") -> None:
     """CSV with a header; a single file only where a person reads it."""
-    (df.coalesce(1) if single else df).write.mode(mode).options(header=True, escape='"').csv(path)
+    (df.coalesce(1) if single else df).write.mode(mode).options(header=True, escape='"', lineSep="\n").csv(path)
 
 
 def append_rows(df: DataFrame, path: str, kind: str = "parquet") -> None:

@@ -9,12 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which all executors share; a temporary one only where none is named."""
+    """The session's checkpoint folder, which all executors share.
+
+    Where none is named, a temporary folder serves a local session; on a
+    cluster that folder would be another one on each machine, so it is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = found.get() if found.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
