@@ -123,16 +123,20 @@ TILE, PAIRS_AT_A_TIME = 1024, 4_000_000
 def cooccurrence(df: DataFrame, doc: str, term: str, tile: int = TILE) -> DataFrame:
     """(a, b, n): in how many documents two terms a < b stand together.
 
-    Terms are numbered without gaps, so a pair is one integer.  The pairs of a
+    Terms are numbered, so a pair is one integer.  The pairs of a
     document are made and counted in arrays, never as rows, and only counts are
     shuffled.  A document with more than `tile` different terms is cut into
     tiles, whose pairs are spread over tasks, so no document is too long for one.
     """
-    from stihora.operators.relations import dense_ids
     from stihora.storage import written
 
+    spark = df.sparkSession
     sets = written(df.select(doc, term).dropna().distinct())  # read twice
-    numbered = written(dense_ids(sets.select(F.col(term).alias("_name")).distinct(), ["_name"], "_id").select("_name", F.col("_id").cast("int").alias("_id")))
+    # a row's number within its partition, then the partition's: numbers of the size of the vocabulary, without a sort
+    parts = max(int(spark.conf.get(c, None) or 0) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"))
+    at = F.monotonically_increasing_id()
+    numbered = sets.select(F.col(term).alias("_name")).distinct().withColumn("_at", at)
+    numbered = written(numbered.select("_name", (F.col("_at").bitwiseAND((1 << 33) - 1) * parts + F.shiftright("_at", 33)).cast("int").alias("_id")))
     ids = written(sets.join(numbered, F.col(term) == F.col("_name")).groupBy(doc).agg(F.sort_array(F.collect_list("_id")).alias("x")).select("x"))
     none = F.lit(None).cast("array<int>")
     short = ids.filter(F.size("x") <= tile).select("x", none.alias("y"))
