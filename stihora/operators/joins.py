@@ -144,9 +144,10 @@ def cooccurrence(df: DataFrame, doc: str, term: str, tile: int = TILE) -> DataFr
     long = ids.filter(F.size("x") > tile).select(parts.alias("p")).select(F.posexplode("p").alias("i", "x"), "p")
     long = long.select("x", F.explode(F.concat(F.array(none), F.slice("p", F.col("i") + 2, F.size("p")))).alias("y")).repartition("x", "y")
     counted = short.union(long).mapInArrow(_counted_pairs, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-    names = numbered.select(F.col("_id"), F.col("_name"))
+    names = numbered.select("_id", "_name")
     named = counted.select(F.shiftright("pair", 32).cast("int").alias("_a"), F.col("pair").bitwiseAND(0xFFFFFFFF).cast("int").alias("_b"), "n")
-    return named.join(names.toDF("_a", "a"), "_a").join(names.toDF("_b", "b"), "_b").select("a", "b", "n")
+    both = named.join(names.toDF("_a", "_x"), "_a").join(names.toDF("_b", "_y"), "_b")
+    return both.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"), "n")
 
 
 def _counted_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
