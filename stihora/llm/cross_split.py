@@ -77,8 +77,8 @@ def close_classes(records: DataFrame, sides: DataFrame, shingle: int = SHINGLE,
             texts = batch.column(1).to_pylist()
             for a, b in chunks(texts):
                 keys = band_keys(texts[a:b], shingle, bands, band_rows)
-                offsets = pa.array(np.arange(0, (b - a + 1) * bands, bands), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel().view(np.int64)))], names=["id", "keys"])
+                ids = np.repeat(batch.column(0).to_numpy()[a:b], bands)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys.ravel().view(np.int64))], names=["id", "band"])
 
     texts = records.select(F.col("id").cast("bigint").alias("id"), "text").filter("id is not null")
     sides = (
@@ -91,12 +91,13 @@ def close_classes(records: DataFrame, sides: DataFrame, shingle: int = SHINGLE,
     # a record that was delivered with several texts may stand for several classes
     classes = members.groupBy("key").agg(F.min("id").alias("id"), F.max("train").alias("train"), F.max("held_out").alias("held_out"))
     classes = written(classes)
-    own = classes.groupBy("id").agg(F.max("train").alias("train"), F.max("held_out").alias("held_out"))
-    banded = texts.join(own.select("id"), "id", "left_semi").mapInArrow(sketch, "id bigint, keys array<bigint>").select("id", F.explode("keys").alias("band"))
-    banded = banded.join(own, "id")
-    left = banded.filter("held_out").select("band", F.col("id").alias("id_e"))
-    right = banded.filter("train").select("band", F.col("id").alias("id_t"))
-    near = left.join(right, "band").filter("id_e <> id_t").select("id_e", "id_t").distinct()
+    # written, so that its size is known: it is broadcast while it is small, and the texts are shuffled by id beyond that
+    own = written(classes.groupBy("id").agg(F.max("train").alias("train"), F.max("held_out").alias("held_out")))
+
+    def banded(side: str) -> DataFrame:
+        return texts.join(own.filter(side).select("id"), "id", "left_semi").mapInArrow(sketch, "id bigint, band bigint")
+
+    near = banded("held_out").withColumnRenamed("id", "id_e").join(banded("train").withColumnRenamed("id", "id_t"), "band").filter("id_e <> id_t").select("id_e", "id_t").distinct()
     keys = classes.select("id", "key", "train", "held_out")
     candidates = written(
         near.join(keys.filter("held_out").select(F.col("id").alias("id_e"), F.col("key").alias("key_e")), "id_e")
