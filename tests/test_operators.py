@@ -302,3 +302,59 @@ def test_nearest_rank(spark):
     df = spark.createDataFrame([(i,) for i in range(1, 101)], "v int")
     r = E.nearest_rank(df, "v", {"p50": 0.5, "p99": 0.99}, {"over": 90}).head()
     assert (r.n, r.largest, r.p50, r.p99, r.over) == (100, 100, 51, 100, 10)
+
+
+def test_documents_with_many_terms_are_paired_by_tiles(spark):
+    import itertools
+    import random
+    from collections import Counter
+
+    rng = random.Random(3)
+    docs = [rng.sample(range(40), n) for n in (0, 1, 5, 23, 40)]
+    want = Counter(p for t in docs for p in itertools.combinations(sorted(f"t{x:02d}" for x in t), 2))
+    df = spark.createDataFrame([(i, f"t{x:02d}") for i, t in enumerate(docs) for x in t] * 2 + [(1, None)], "doc long, term string")
+    assert {(r.a, r.b): r.n for r in J.cooccurrence(df, "doc", "term", tile=7).collect()} == dict(want)
+
+
+def test_similar_sets_equal_brute_force(spark):
+    import itertools
+    import random
+
+    rng = random.Random(8)
+    sets = {f"g{i}": set(rng.sample(range(60), rng.randint(1, 25))) for i in range(40)}
+    sets |= {f"h{i}": set(list(sets[f"g{i}"])[:-1] or [1]) for i in range(10)}
+    for least in (0.15, 0.5, 1.0):
+        want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least}
+        df = spark.createDataFrame([(g, x) for g, s in sets.items() for x in s] + [(None, 1), ("g1", None)], "g string, x long")
+        assert {(r.a, r.b) for r in J.jaccard_pairs(df, "g", "x", least).collect()} == want
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from stihora.storage import shared_dir
+
+    class Session:
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class _jsc:
+                @staticmethod
+                def sc():
+                    class Context:
+                        @staticmethod
+                        def getCheckpointDir():
+                            class Nothing:
+                                @staticmethod
+                                def isDefined():
+                                    return False
+
+                            return Nothing
+
+                    return Context
+
+    with pytest.raises(ValueError):
+        shared_dir(Session)
