@@ -244,11 +244,11 @@ def n15_style_composite(spark, d):
     return out.select("run", "poem_id", "scored_at", r6("style").alias("style"))
 
 
-@query(r"""SELECT doc_id, round(CASE WHEN len(regexp_extract_all(text, '[Ѐ-ӿA-Za-z]')) > 0 THEN len(regexp_extract_all(text, '[Ѐ-ӿ]')) / len(regexp_extract_all(text, '[Ѐ-ӿA-Za-z]')) ELSE 0 END * CASE WHEN regexp_matches(text, '(?m)\*\*|^#{1,6} |```') THEN 0 ELSE 1 END, 6)::DOUBLE AS gate_valid FROM documents WHERE length(text) > 50""")
+@query(r"""SELECT doc_id, round(CASE WHEN len(regexp_extract_all(text, '[Ѐ-ӿA-Za-z]')) > 0 THEN len(regexp_extract_all(text, '[Ѐ-ӿ]')) / len(regexp_extract_all(text, '[Ѐ-ӿA-Za-z]')) ELSE 0 END * CASE WHEN regexp_matches(text, '(?m)\*\*|^#{1,6} |```') THEN 0 ELSE 1 END, 6)::DOUBLE AS gate_valid FROM documents WHERE text IS NOT NULL""")
 def n16_gates(spark, d):
     c = F.col("text")
-    docs = table(spark, d, "documents").filter(F.length(c) > 50)
-    return E.gates(docs.select("doc_id", T.script_ratio(c).alias("cyrillic"), F.when(T.has_markup(c, chat_only=True), 0).otherwise(1).alias("no_chat"), F.lit(1).alias("nonempty"), F.lit(1.0).alias("line_uniqueness"), F.lit(1.0).alias("novelty"))).select("doc_id", r6("gate_valid").alias("gate_valid"))
+    docs = table(spark, d, "documents").filter(c.isNotNull())
+    return E.gates(docs.select("doc_id", T.script_ratio(c).alias("cyrillic"), F.when(T.has_markup(c, chat_only=True), 0).otherwise(1).alias("no_chat"), F.when(F.size(T.lines(c)) > 0, 1).otherwise(0).alias("nonempty"), F.lit(1.0).alias("line_uniqueness"), F.lit(1.0).alias("novelty"))).select("doc_id", r6("gate_valid").alias("gate_valid"))
 
 
 @query("WITH m AS (SELECT poem_id, run, max(quality) AS q FROM scored_poems WHERE quality IS NOT NULL GROUP BY 1, 2) SELECT a.poem_id, 'rescored' AS better, 'baseline' AS worse, a.q > b.q AS holds FROM m a JOIN m b USING (poem_id) WHERE a.run = 'rescored' AND b.run = 'baseline'")
