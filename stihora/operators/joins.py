@@ -276,6 +276,71 @@ def _first_from(places: list[int] | tuple, at: int) -> int:
     return places[i] if i < len(places) else -1
 
 
+#: Texts and streams of a group that are aligned with each other in one piece.
+TEXTS_AT_A_TIME, STREAMS_AT_A_TIME = 4_000, 20_000
+
+
+def best_aligned(texts: DataFrame, streams: DataFrame, by: str, key: str, source: str, n_texts: int = TEXTS_AT_A_TIME, n_streams: int = STREAMS_AT_A_TIME) -> DataFrame:
+    """(key, source, n_words, n_aligned): for each text (key, by, words) the stream (source, by, stream) of its group with most words aligned.
+
+    Of equal ones the smallest source counts.  The alignment is that of
+    align_words(), of a text with all streams of a group at once: a word moves
+    the places of all streams that have it after their place.  Groups are cut
+    into tiles of a bounded number of texts and streams.
+    """
+
+    def tiles(df: DataFrame, most: int, name: str) -> DataFrame:
+        return df.groupBy(by).agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+
+    sizes = tiles(texts, n_texts, "_n_t").join(tiles(streams, n_streams, "_n_s"), by)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    left = texts.join(sizes, by).select(by, key, "words", own(key, "_n_t").alias("_t"), every("_n_s").alias("_s"))
+    right = streams.join(sizes, by).select(by, source, "stream", every("_n_t").alias("_t"), own(source, "_n_s").alias("_s"))
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((texts, key), (streams, source))]
+    found = left.groupBy(by, "_t", "_s").cogroup(right.groupBy(by, "_t", "_s")).applyInArrow(_aligned_best(key, source), f"`{key}` {kinds[0]}, `{source}` {kinds[1]}, n_words int, n_aligned int")
+    best = found.groupBy(key).agg(F.max_by(F.struct(source, "n_words", "n_aligned"), F.struct("n_aligned", -F.col(source))).alias("_one"))
+    return best.select(key, "_one.*")
+
+
+def _aligned_best(key: str, source: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def align(texts: pa.Table, streams: pa.Table) -> pa.Table:
+        import numpy as np
+
+        if not (texts.num_rows and streams.num_rows):
+            return pa.table([pa.array([], texts.schema.field(key).type), pa.array([], streams.schema.field(source).type), *[pa.array([], pa.int32())] * 2], names=[key, source, "n_words", "n_aligned"])
+        streams = streams.sort_by(source)
+        lists = streams.column("stream").combine_chunks()
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        size = np.asarray(lists.value_lengths().fill_null(0), np.int64)
+        tokens = lists.flatten().dictionary_encode()
+        word = np.asarray(tokens.indices)
+        number = {w: i for i, w in enumerate(tokens.dictionary.to_pylist())}
+        behind = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size) + 1  # the place behind each token
+        # by word, the last tokens first: of several in a stream the first one is then assigned last
+        order = np.argsort(word, kind="stable")[::-1]
+        ends = len(word) - np.append(0, np.cumsum(np.bincount(word, minlength=len(number))))
+        which, behind = np.repeat(np.arange(len(size)), size)[order], behind[order]
+        found = [(which[ends[i + 1] : ends[i]], behind[ends[i + 1] : ends[i]]) for i in range(len(number))]
+        best, most, n_words = [], [], []
+        for ws in texts.column("words").to_pylist():
+            at = np.zeros(len(size), np.int64)
+            n = np.zeros(len(size), np.int32)
+            for w in ws or ():
+                if (i := number.get(w)) is not None:
+                    stream, place = found[i]
+                    free = place > at[stream]
+                    stream = stream[free]
+                    at[stream] = place[free]
+                    n[stream] += 1  # once for each stream
+            best.append(int(n.argmax()))
+            most.append(int(n[best[-1]]))
+            n_words.append(len(ws or ()))
+        return pa.table([texts.column(key), streams.column(source).take(pa.array(best)), pa.array(n_words, pa.int32()), pa.array(most, pa.int32())], names=[key, source, "n_words", "n_aligned"])
+
+    return align
+
+
 def insert_absent(target: DataFrame, parts: DataFrame, key: list[str], part: str) -> DataFrame:
     """Rows of the parts that the target lacks; of several with one key, the first part's."""
     rest = [c for c in parts.columns if c not in key]

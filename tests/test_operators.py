@@ -145,6 +145,21 @@ def test_alignment_is_greedy(spark):
     assert list(rows[1].places) == [1, 4, -1, -1] and rows[1].n_aligned == 2 and rows[2].n_words == 0
 
 
+def test_the_best_aligned_stream_is_that_of_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    some = lambda n: ["абвгде"[rng.randrange(6)] for _ in range(n)]
+    texts = spark.createDataFrame([(i, f"g{i % 3}", some(i % 9)) for i in range(40)] + [(99, "other", some(3)), (98, "g1", None)], "k long, g string, words array<string>")
+    streams = spark.createDataFrame([(i, f"g{i % 4}", some(i % 12)) for i in range(60)] + [(97, "g1", None)], "s long, g string, stream array<string>")
+    pairs = J.align_words(texts.join(streams, "g"), "words", "stream", ["k", "s"]).collect()
+    want = {}
+    for r in sorted(pairs, key=lambda r: (-r.n_aligned, r.s)):
+        want.setdefault(r.k, (r.s, r.n_words, r.n_aligned))
+    for tiles in ({}, {"n_texts": 3, "n_streams": 4}):
+        assert {r.k: (r.s, r.n_words, r.n_aligned) for r in J.best_aligned(texts, streams, "g", "k", "s", **tiles).collect()} == want
+
+
 def test_insert_absent_is_idempotent(spark):
     parts = spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (2, "b", "z")], "k int, part string, v string")
     target = spark.createDataFrame([(2, "old")], "k int, v string")
