@@ -194,7 +194,7 @@ def r5_least_used_stream(spark, d):
     t = R.content(tokens(spark, d))
     t.select("poem_id", (F.col("line_no") * 1000 + F.col("tok_no")).cast("int").alias("place"), F.array("lemma", F.lit("тивко"), F.lit("рано")).alias("candidates")).write.parquet(path)
     s = streams.file_stream(spark, path, "poem_id bigint, place int, candidates array<string>", files=100)
-    return streams.run_to_end(streams.least_used_stream(s, "poem_id"), f"r5_{uuid.uuid4().hex[:8]}")
+    return streams.run_to_files(streams.least_used_stream(s, "poem_id"), _folder(spark))
 
 
 @query(

@@ -88,3 +88,10 @@ def run_to_end(df: DataFrame, name: str, mode: str = "append", checkpoint: str |
     q = (w.option("checkpointLocation", checkpoint) if checkpoint else w).start()
     q.awaitTermination()
     return df.sparkSession.table(name)
+
+
+def run_to_files(df: DataFrame, path: str) -> DataFrame:
+    """Runs a stream over what is there into Parquet files, so its rows never stand in the driver's memory."""
+    w = df.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state")
+    w.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")

@@ -61,6 +61,15 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert sum(r.total for r in rows) <= 7.0 and all(r.n >= 1 for r in rows)
 
 
+def test_a_stream_of_choices_goes_to_files(spark, tmp_path):
+    schema = "poem_id bigint, place int, candidates array<string>"
+    spark.createDataFrame([(p, i, ["а", "б"]) for p in (1, 2) for i in range(3)], schema).write.parquet(str(tmp_path / "in"))
+    s = streams.least_used_stream(streams.file_stream(spark, str(tmp_path / "in"), schema, files=10), "poem_id")
+    out = streams.run_to_files(s, f"file://{tmp_path}/out")
+    assert sorted(map(tuple, out.collect())) == [(p, i, x) for p in (1, 2) for i, x in enumerate("аба")]
+    assert out.inputFiles() and all("/out/rows/" in f for f in out.inputFiles())
+
+
 def test_as_of(spark):
     left = spark.createDataFrame([(1, 5), (1, 1), (2, 9)], "u int, t int")
     right = spark.createDataFrame([(1, 2, "a"), (1, 5, "b"), (2, 10, "c")], "u int, t int, v string")
