@@ -94,6 +94,21 @@ def test_folds_are_stratified(spark):
     assert set(n.values()) == {2} and len(n) == 10
 
 
+def test_folds_are_scored_like_spark_ml(spark):
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+
+    rows = [(i, "АБВ"[i % 3], f"{('река', 'ветер', 'гора')[(i // 5) % 3]} {('тече', 'дува', 'стои')[i % 3]}") for i in range(45)]
+    df = spark.createDataFrame(rows, "k long, author string, text string")
+    got = {r.fold: (r.accuracy, r.f1) for r in M.cross_validated(df, "author", "k", k=2, iterations=2).collect()}
+    folded = M.folds(df, "author", "k", 2).cache()
+    for i in range(2):
+        model = M.author_classifier(folded.filter(F.col("fold") != i), iterations=2)
+        told = M.predict(model, folded.filter(F.col("fold") == i)).select(F.ascii("author").cast("double").alias("label"), F.ascii("predicted").cast("double").alias("prediction"))
+        want = [MulticlassClassificationEvaluator(metricName=m).evaluate(told) for m in ("accuracy", "f1")]
+        assert max(abs(a - b) for a, b in zip(got[i], want)) < 1e-9
+    assert model.path and not hasattr(model, "stages")
+
+
 def test_embedding_once_for_each_text(spark):
     df = spark.createDataFrame([("а",), ("а",), (None,), ("б",)], "t string")
     rows = M.embed(df, "t", lambda xs: [[float(len(x))] for x in xs]).collect()
