@@ -116,65 +116,109 @@ def jaccard_pairs(df: DataFrame, group: str, item: str, least: float) -> DataFra
     return out.withColumn("jaccard", F.col("n_common") / (F.col("n_a") + F.col("n_b") - F.col("n_common"))).filter(F.col("jaccard") >= least).select("a", "b", "n_common", "jaccard")
 
 
-#: Terms of a document that are paired in one piece, and pairs that are counted at a time in a task.
-TILE, PAIRS_AT_A_TIME = 1024, 4_000_000
+#: Terms of a document that are paired in one piece; terms, pairs and rows that are held at a time in a task; its most frequent terms, whose pairs are counted in a table.
+TILE, TERMS_AT_A_TIME, PAIRS_AT_A_TIME, ROWS_AT_A_TIME, HEAD = 1024, 2_000_000, 2_000_000, 50_000, 1024
 
 
 def cooccurrence(df: DataFrame, doc: str, term: str, tile: int = TILE) -> DataFrame:
-    """(a, b, n): in how many documents two terms a < b stand together.
+    """(a, b, n): in how many documents two terms a < b stand together."""
+    sets = df.select(doc, term).dropna().distinct().groupBy(doc).agg(F.collect_list(term).alias("x"))
+    return cooccurring(sets.select("x"), tile)
 
-    Terms are numbered, so a pair is one integer.  The pairs of a
-    document are made and counted in arrays, never as rows, and only counts are
-    shuffled.  A document with more than `tile` different terms is cut into
+
+def cooccurring(sets: DataFrame, tile: int = TILE) -> DataFrame:
+    """(a, b, n) as cooccurrence(), from the different terms x of each document.
+
+    Pairs are made and counted in arrays, never as rows, and only a task's
+    counts are shuffled.  A document with more than `tile` terms is cut into
     tiles, whose pairs are spread over tasks, so no document is too long for one.
     """
     from stihora.storage import written
 
-    spark = df.sparkSession
-    sets = written(df.select(doc, term).dropna().distinct())  # read twice
-    # a row's number within its partition, then the partition's: numbers of the size of the vocabulary, without a sort
-    parts = max(int(spark.conf.get(c, None) or 0) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"))
-    at = F.monotonically_increasing_id()
-    numbered = sets.select(F.col(term).alias("_name")).distinct().withColumn("_at", at)
-    numbered = written(numbered.select("_name", (F.col("_at").bitwiseAND((1 << 33) - 1) * parts + F.shiftright("_at", 33)).cast("int").alias("_id")))
-    ids = written(sets.join(numbered, F.col(term) == F.col("_name")).groupBy(doc).agg(F.sort_array(F.collect_list("_id")).alias("x")).select("x"))
-    none = F.lit(None).cast("array<int>")
-    short = ids.filter(F.size("x") <= tile).select("x", none.alias("y"))
+    kind = sets.schema["x"].dataType.simpleString()
+    sets = written(sets.select("x"))  # read twice
+    none = F.lit(None).cast(kind)
+    short = sets.filter(F.size("x") <= tile).select("x", none.alias("y"))
     parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("x") - 1) / tile).cast("int")), lambda i: F.slice("x", i * tile + 1, tile))
-    long = ids.filter(F.size("x") > tile).select(parts.alias("p")).select(F.posexplode("p").alias("i", "x"), "p")
+    long = sets.filter(F.size("x") > tile).select(parts.alias("p")).select(F.posexplode("p").alias("i", "x"), "p")
     long = long.select("x", F.explode(F.concat(F.array(none), F.slice("p", F.col("i") + 2, F.size("p")))).alias("y")).repartition("x", "y")
-    counted = short.union(long).mapInArrow(_counted_pairs, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-    names = numbered.select("_id", "_name")
-    named = counted.select(F.shiftright("pair", 32).cast("int").alias("_a"), F.col("pair").bitwiseAND(0xFFFFFFFF).cast("int").alias("_b"), "n")
-    both = named.join(names.toDF("_a", "_x"), "_a").join(names.toDF("_b", "_y"), "_b")
-    return both.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"), "n")
+    item = kind.removeprefix("array<").removesuffix(">")
+    return short.union(long).mapInArrow(_counted_pairs, f"a {item}, b {item}, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def _counted_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs within x, or of x and y where y is given, as one integer each, with their counts."""
-    import numpy as np
+    """Pairs within x, or of x and y where y is given, with their counts."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += sum(len(c.flatten()) for c in batch.columns)
+        if size >= TERMS_AT_A_TIME:
+            yield from _pairs_of(held)
+            held, size = [], 0
+    if size:
+        yield from _pairs_of(held)
 
-    def counted(made: list) -> pa.RecordBatch:
-        pair, n = np.unique(np.concatenate(made), return_counts=True) if made else (np.zeros(0, np.int64),) * 2
-        return pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(n, pa.int64())], names=["pair", "n"])
 
-    made: list = []
-    size = 0
-    for batch in batches:
-        xs, ys = batch.column(0), batch.column(1)
-        for i in range(batch.num_rows):
-            x = xs[i].values.to_numpy().astype(np.int64)
-            if ys[i].is_valid:
-                pairs = ((x[:, None] << 32) | ys[i].values.to_numpy().astype(np.int64)[None, :]).ravel()
-            else:
-                a, b = np.triu_indices(len(x), 1)
-                pairs = (x[a] << 32) | x[b]
-            made.append(pairs)
-            size += len(pairs)
-            if size > PAIRS_AT_A_TIME:
-                yield counted(made)
-                made, size = [], 0
-    yield counted(made)
+def _pairs_of(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Terms are numbered, frequent ones first; pairs of frequent terms are counted in a table, others by sorting."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    xs, ys = (pa.concat_arrays([b.column(k) for b in batches]) for k in (0, 1))
+    coded = pa.concat_arrays([xs.flatten(), ys.flatten()]).dictionary_encode()
+    code = np.asarray(coded.indices)
+    order = np.argsort(-np.bincount(code, minlength=len(coded.dictionary)), kind="stable")
+    names = coded.dictionary.take(pa.array(order))
+    number, place = np.empty((2, len(names)), np.int64)
+    number[order] = place[np.asarray(pc.sort_indices(names))] = np.arange(len(names))
+    ids = number[code]
+    head = min(HEAD, len(names))
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n_x, n_y = (np.asarray(c.value_lengths().fill_null(0), np.int64) for c in (xs, ys))
+        at_x, at_y = np.cumsum(n_x) - n_x, n_x.sum() + np.cumsum(n_y) - n_y
+        for n in np.unique(n_x[n_y == 0]):  # documents of one size form a matrix
+            i, j = np.triu_indices(n, 1)
+            at = at_x[(n_x == n) & (n_y == 0)]
+            step = max(1, PAIRS_AT_A_TIME // max(1, len(i)))
+            for k in range(0, len(at) if n > 1 else 0, step):
+                m = np.ascontiguousarray(np.sort(ids[at[k : k + step, None] + np.arange(n)], axis=1).T)
+                yield m[i].ravel(), m[j].ravel()
+        for k in np.flatnonzero(n_y):
+            x, y = np.meshgrid(ids[at_x[k] : at_x[k] + n_x[k]], ids[at_y[k] : at_y[k] + n_y[k]])
+            yield np.minimum(x, y).ravel(), np.maximum(x, y).ravel()
+
+    def named(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(n), ROWS_AT_A_TIME):
+            x, y = a[k : k + ROWS_AT_A_TIME], b[k : k + ROWS_AT_A_TIME]
+            first = place[x] < place[y]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(np.where(first, x, y))), names.take(pa.array(np.where(first, y, x))), pa.array(n[k : k + ROWS_AT_A_TIME], pa.int64())], names=["a", "b", "n"])
+
+    def sorted_out(made: list) -> Iterator[pa.RecordBatch]:
+        pair, n = np.unique(np.concatenate(made), return_counts=True)
+        yield from named(pair >> 32, pair & 0xFFFFFFFF, n)
+
+    table = np.zeros(head * head, np.int64)
+    frequent, rest = [], []
+    for a, b in pairs():
+        near = b < head
+        if near.all():
+            frequent.append(a * head + b)
+        else:
+            frequent.append(a[near] * head + b[near])
+            rest.append((a[~near] << 32) | b[~near])
+        if sum(map(len, frequent)) > PAIRS_AT_A_TIME:
+            table += np.bincount(np.concatenate(frequent), minlength=head * head)
+            frequent = []
+        if sum(map(len, rest)) > PAIRS_AT_A_TIME:
+            yield from sorted_out(rest)
+            rest = []
+    if frequent:
+        table += np.bincount(np.concatenate(frequent), minlength=head * head)
+    if rest:
+        yield from sorted_out(rest)
+    found = np.flatnonzero(table)
+    yield from named(found // head, found % head, table[found])
 
 
 def symmetric(pairs: DataFrame) -> DataFrame:

@@ -103,13 +103,19 @@ PAIRS = "pairs AS (SELECT a.term AS a, b.term AS b, count(*) AS n FROM sets a JO
 COOC = f"{CONTENT}, sets AS (SELECT DISTINCT poem_id, lemma || '|' || pos AS term FROM content), {PAIRS}"
 
 
+def term_sets(spark, d):
+    """The different terms x of each poem; a blank text has none, so only authors are required."""
+    songs = R.latest(table(spark, d, "stripped_songs"), ["poem_id"], "ingested_at")
+    return R.term_sets(R.required(songs, "author"), "song_text")
+
+
 def terms(spark, d):
     return R.content(tokens(spark, d)).select("poem_id", F.concat_ws("|", "lemma", "pos").alias("term"))
 
 
 @query(f"{COOC} SELECT a, b, n FROM pairs")
 def j7_cooccurrence(spark, d):
-    return J.cooccurrence(terms(spark, d), "poem_id", "term")
+    return J.cooccurring(term_sets(spark, d))
 
 
 @query(f"{COOC} SELECT a, b, n FROM pairs UNION ALL SELECT b, a, n FROM pairs")
