@@ -222,8 +222,10 @@ def _pairs_of(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def symmetric(pairs: DataFrame) -> DataFrame:
+    """Each pair in both orders; rows are doubled in place, so pairs are made once."""
     rest = [c for c in pairs.columns if c not in ("a", "b")]
-    return pairs.select("a", "b", *rest).union(pairs.select("b", "a", *rest))
+    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.select(F.explode(both).alias("_pair"), *rest).select("_pair.a", "_pair.b", *rest)
 
 
 def cosine_pairs(df: DataFrame, key: str, vector: str, block: str, least: float, rows: int = 512) -> DataFrame:

@@ -120,7 +120,7 @@ def j7_cooccurrence(spark, d):
 
 @query(f"{COOC} SELECT a, b, n FROM pairs UNION ALL SELECT b, a, n FROM pairs")
 def j8_symmetric(spark, d):
-    return J.symmetric(J.cooccurrence(terms(spark, d), "poem_id", "term"))
+    return J.symmetric(J.cooccurring(term_sets(spark, d)))
 
 
 J9 = f"""{CONTENT}, busy AS (SELECT author FROM poems GROUP BY 1 HAVING count(*) >= 5), sets AS (SELECT DISTINCT author, lemma FROM content WHERE author IN (SELECT author FROM busy)), size AS (SELECT author, count(*) AS n FROM sets GROUP BY 1),

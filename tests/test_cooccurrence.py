@@ -65,3 +65,11 @@ def test_rare_terms_and_small_pieces_are_counted_alike(spark, monkeypatch):
                 got[r["a"], r["b"]] += r["n"]
         assert got == want
     assert list(J._counted_pairs([])) == []
+
+
+def test_pairs_are_made_once_for_both_orders(spark, songs):
+    both = plans.queries()["j8_symmetric"](spark, songs)
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    want = brute_force(spark, songs)
+    got = [((r.a, r.b), r.n) for r in both.collect()]
+    assert len(got) == 2 * len(want) and dict(got) == want | {(b, a): n for (a, b), n in want.items()}
